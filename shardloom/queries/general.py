@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import periods_and_gaps, sweep
 from ..operators.rolling import trailing_totals
+from ..session import read_table
+from ..streaming.sessions import replay_sessions
 from .audit import micros, statements
 
 TWO_HOURS_US = 7_200_000_000
@@ -46,7 +48,26 @@ def p7_trailing(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_name", F.date_format("day", "yyyy-MM-dd").alias("day"), "sum_7", "sum_30", "n_7", "n_30", *averages)
 
 
-QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p7_found": p7_found, "p7_trailing": p7_trailing}
+HALF_HOUR_US = 1_800_000_000
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "audit").select("audit_id", F.col("user").alias("user_name"), "thread_id", "start")
+    return replay_sessions(rows, ["user_name", "thread_id"], "start", HALF_HOUR_US, event_id="audit_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """First and last start of each session of an account on a connection."""
+    return _sessions(spark, d).select("user_name", "thread_id", micros("first").alias("first_us"), micros("last").alias("last_us"))
+
+
+def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Each session with its start, end, duration and number of statements."""
+    first, last = micros("first"), micros("last")
+    return _sessions(spark, d).select("user_name", "thread_id", first.alias("first_us"), last.alias("last_us"), (last - first).alias("duration_us"), "n")
+
+
+QUERIES = {"p4_found": p4_found, "p4_periods": p4_periods, "p6_found": p6_found, "p6_sessions": p6_sessions, "p7_found": p7_found, "p7_trailing": p7_trailing}
 
 #: Each audit_id once; the copies differ in logged_at only.
 ONCE = "(SELECT DISTINCT audit_id, start, \"end\", cost, \"user\", user_host, thread_id, command_type, argument, query_rows FROM audit)"
@@ -62,6 +83,14 @@ PERIODS = f"""
     followed AS (SELECT *, lead(from_us) OVER (PARTITION BY user_name ORDER BY from_us) AS next_us FROM periods)
 """
 
+SESSIONS = f"""
+    WITH ordered AS (
+        SELECT "user" AS user_name, thread_id, epoch_us(start) AS ts FROM {ONCE} WHERE "user" IS NOT NULL AND thread_id IS NOT NULL AND start IS NOT NULL),
+    marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_name, thread_id ORDER BY ts) <= {HALF_HOUR_US} THEN 0 ELSE 1 END AS fresh FROM ordered),
+    numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_name, thread_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+    sessions AS (SELECT user_name, thread_id, min(ts) AS first_us, max(ts) AS last_us, count(*) AS n FROM numbered GROUP BY user_name, thread_id, k)
+"""
+
 TRAILING = f"""
     WITH daily AS (
         SELECT "user" AS user_name, CAST(start AS DATE) AS day, sum(greatest(coalesce(query_rows, 0), 0)) AS v, count(*) AS n FROM {ONCE}
@@ -80,6 +109,8 @@ SQL = {
     + f"""SELECT user_name, 'busy' AS kind, from_us, to_us FROM followed WHERE n >= 2
     UNION ALL SELECT user_name, 'gap', to_us, next_us FROM followed WHERE next_us - to_us >= {TWO_HOURS_US}""",
     "p4_periods": PERIODS + "SELECT user_name, from_us, to_us, n, next_us - to_us AS gap_us FROM followed",
+    "p6_found": SESSIONS + "SELECT user_name, thread_id, first_us, last_us FROM sessions",
+    "p6_sessions": SESSIONS + "SELECT *, last_us - first_us AS duration_us FROM sessions",
     "p7_found": TRAILING + "SELECT user_name, strftime(day, '%Y-%m-%d') AS day FROM summed WHERE day - lo >= 29 AND 2 * s7 > s30",
     "p7_trailing": TRAILING
     + """SELECT user_name, strftime(day, '%Y-%m-%d') AS day, CAST(s7 AS BIGINT) AS sum_7, CAST(s30 AS BIGINT) AS sum_30,
