@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import setsketch
+from . import heavylight, setsketch
 
 # ---- p1: distinct counts -------------------------------------------------------------------------------------------
 
@@ -51,7 +51,32 @@ def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap}
+# ---- p3: frequent items --------------------------------------------------------------------------------------------
+
+#: Of all audit_ids, the part that must hold an item for it to be listed.
+SHARE = 0.01
+ITEMS = ["argument", "user_host"]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values of argument and user_host that 1 % of all audit_ids hold."""
+    audit = read_table(spark, d, "audit")
+    total = audit.agg(F.count_distinct("audit_id")).first()[0]
+    least = max(1, -(-total * SHARE // 1))
+    found = heavylight.frequent(audit, ITEMS, int(least), event_id="audit_id")
+    return found.select(F.col("field").alias("field_name"), "item")
+
+
+def p3_top(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred values of each field seen most often among all lines, with the bounds of their counts."""
+    from pyspark.sql import Window
+
+    sketch = heavylight.merged(heavylight.build(read_table(spark, d, "audit"), ITEMS))
+    ranked = heavylight.residents(sketch).withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("upper"), "item")))
+    return ranked.where("rank <= 100").select(F.col("field").alias("field_name"), "item", "lower", "upper")
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p3_found": p3_found, "p3_top": p3_top}
 
 SQL = {
     "p1_found": " UNION ALL ".join(
@@ -59,4 +84,9 @@ SQL = {
         WHERE "user" IS NOT NULL AND start IS NOT NULL AND {f} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT {f}) >= {MANY}"""
         for f in ("user_host", "thread_id")
     ),
+    "p3_found": " UNION ALL ".join(
+        f"""SELECT '{f}' AS field_name, {f} AS item FROM audit WHERE {f} IS NOT NULL GROUP BY {f}
+        HAVING count(DISTINCT audit_id) >= {SHARE} * (SELECT count(DISTINCT audit_id) FROM audit)"""
+        for f in ITEMS
+    ),
 }
