@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import heavylight, setsketch
+from . import compactors, heavylight, setsketch
 
 # ---- p1: distinct counts -------------------------------------------------------------------------------------------
 
@@ -76,7 +76,35 @@ def p3_top(spark: SparkSession, d: str) -> DataFrame:
     return ranked.where("rank <= 100").select(F.col("field").alias("field_name"), "item", "lower", "upper")
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p3_found": p3_found, "p3_top": p3_top}
+# ---- p5: percentiles -----------------------------------------------------------------------------------------------
+
+GROUP = ["user_name", "command_type"]
+PARTS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+#: Groups of at least so many costs whose 95th percentile is at least so many times the median are listed.
+LEAST_ROWS, STRETCH = 40, 20
+
+
+def _costs(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """Each audit_id once, brought together with its group by one shuffle, hot groups over many tasks."""
+    rows = read_table(spark, d, "audit").select("audit_id", F.col("user").alias("user_name"), "command_type", "cost", *more)
+    rows = rows.where("audit_id IS NOT NULL AND user_name IS NOT NULL AND command_type IS NOT NULL AND cost >= 0")
+    return compactors.spread(rows, GROUP, F.col("audit_id")).dropDuplicates([*GROUP, "_salt", "audit_id"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts and kinds of statement whose costs stretch far beyond their median."""
+    sketches = compactors.merge(compactors.build(_costs(spark, d), GROUP, "cost"), GROUP)
+    found = compactors.quantiles(sketches, GROUP, PARTS)
+    return found.where((F.col("n") >= LEAST_ROWS) & (F.col("p95") >= STRETCH * F.col("p50"))).select(*GROUP)
+
+
+def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per account and kind of statement, joined from the sketches of single days."""
+    daily = compactors.build(_costs(spark, d, F.to_date("start").alias("day")), [*GROUP, "day"], "cost")
+    return compactors.quantiles(compactors.merge(daily, GROUP), GROUP, PARTS)
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles}
 
 SQL = {
     "p1_found": " UNION ALL ".join(
@@ -89,4 +117,7 @@ SQL = {
         HAVING count(DISTINCT audit_id) >= {SHARE} * (SELECT count(DISTINCT audit_id) FROM audit)"""
         for f in ITEMS
     ),
+    "p5_found": f"""SELECT user_name, command_type FROM (SELECT DISTINCT audit_id, "user" AS user_name, command_type, cost FROM audit)
+        WHERE user_name IS NOT NULL AND command_type IS NOT NULL AND cost >= 0 GROUP BY ALL
+        HAVING count(*) >= {LEAST_ROWS} AND quantile_disc(cost, 0.95) >= {STRETCH} * quantile_disc(cost, 0.5)""",
 }
