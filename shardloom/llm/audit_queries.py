@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import compactors, heavylight, setsketch
+from . import compactors, heavylight, samesort, setsketch
+from .statements import canonical
 
 # ---- p1: distinct counts -------------------------------------------------------------------------------------------
 
@@ -51,6 +52,25 @@ def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+# ---- p2: duplicates hidden by formatting ---------------------------------------------------------------------------
+
+DATA_STATEMENTS = ["SELECT", "INSERT", "UPDATE", "DELETE", "REPLACE"]
+
+
+def _data_statements(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "audit").where(F.col("command_type").isin(DATA_STATEMENTS)).select("audit_id", "argument")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each data statement that says the same as an earlier one, with the first that does."""
+    return samesort.copies(_data_statements(spark, d), "audit_id", "argument", canonical)
+
+
+def p2_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Each data statement once, in its canonical form, with its number of copies."""
+    return samesort.collapse(_data_statements(spark, d), "audit_id", "argument", canonical)
+
+
 # ---- p3: frequent items --------------------------------------------------------------------------------------------
 
 #: Of all audit_ids, the part that must hold an item for it to be listed.
@@ -104,7 +124,7 @@ def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return compactors.quantiles(compactors.merge(daily, GROUP), GROUP, PARTS)
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_statements": p2_statements, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles}
 
 SQL = {
     "p1_found": " UNION ALL ".join(
