@@ -59,19 +59,30 @@ def slot_of(value: int | float | str, slots: int = SLOTS) -> int:
     return int(jump(np.array([key], np.uint64), slots)[0])
 
 
-def slot(column: Column, kind: str = "bigint", slots: int = SLOTS) -> Column:
-    """Slot of a key column (``kind``: its Spark type); null for a null key. Arrow batches, vectorised."""
+def _hashed(kind: str, slots: int, after):
+    """A pandas UDF from key values to ``after`` of their slots; null for a null key."""
 
     @F.pandas_udf("int")
     def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = pd.Series(jump(s.fillna(0).astype("int64").to_numpy().view(np.uint64), slots), dtype="Int32")
-            yield out.mask(s.isna().to_numpy())
+            keys = s.fillna(0).astype("int64").to_numpy().view(np.uint64)
+            yield pd.Series(after(jump(keys, slots)), dtype="Int32").mask(s.isna().to_numpy())
 
     @F.pandas_udf("int")
     def strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             keys = np.array([0 if v is None else crc64(v.encode()) for v in s], np.uint64)
-            yield pd.Series(jump(keys, slots), dtype="Int32").mask(s.isna().to_numpy())
+            yield pd.Series(after(jump(keys, slots)), dtype="Int32").mask(s.isna().to_numpy())
+
+    return strings if kind == "string" else numbers
+
+
+def slot(column: Column, kind: str = "bigint", slots: int = SLOTS) -> Column:
+    """Slot of a key column (``kind``: its Spark type); null for a null key. Arrow batches, vectorised."""
+    return _hashed(kind, slots, lambda at: at)(column if kind == "string" else column.cast("bigint"))
+
 
-    return strings(column) if kind == "string" else numbers(column.cast("bigint"))
+def range_of(column: Column, lows: list[int], kind: str = "bigint", slots: int = SLOTS) -> Column:
+    """Number, from 1, of the slot range a key falls in; ``lows``: the first slot of each, ascending."""
+    bounds = np.array(lows)
+    return _hashed(kind, slots, lambda at: np.searchsorted(bounds, at, "right"))(column if kind == "string" else column.cast("bigint"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.slots import SLOTS, slot, slot_of
+from ..functions.slots import SLOTS, range_of, slot_of
 
 HASH, LIST, GLOBAL, SINGLE = "HASH", "LIST", "GLOBAL", "SINGLE"
 PARTITION_COUNTS = (8, 16, 32, 64)
@@ -67,10 +67,8 @@ class Placement:
     def shard_column(self, key: Column) -> Column:
         """Name of the segment of each row; null where a list has no partition for the value."""
         if self.kind == HASH:
-            at = slot(key, self.key_type)
-            lows = F.array(*(F.lit(s.low) for s in self.segments))
             names = F.array(*(F.lit(s.table) for s in self.segments))
-            return F.element_at(names, F.size(F.filter(lows, lambda low: low <= at)))
+            return F.element_at(names, range_of(key, [s.low for s in self.segments], self.key_type))
         if self.kind == LIST:
             pairs = [x for s in self.segments for x in (F.lit(s.value), F.lit(s.table))]
             return F.try_element_at(F.create_map(*pairs), key.cast("string"))
@@ -104,9 +102,11 @@ def hash_layout(table: str, shard_key: str, backends: list[str], partitions: int
 
 def list_layout(table: str, shard_key: str, values: dict[str, list[str]], key_type: str = "string") -> Placement:
     """One sub-table per list value, in the order of the sorted values; backend -> its values."""
-    pairs = sorted((str(v), b) for b, vs in values.items() for v in vs)
+    pairs = sorted({(str(v), b) for b, vs in values.items() for v in vs})
+    if not pairs:
+        raise PlacementError("router.compute.partition.list.is.null")
     if len({v for v, _ in pairs}) < len(pairs):
-        raise PlacementError("partition.list.different.partitions.values.not.allowed.equal")
+        raise PlacementError("partition.list.different.backend.with.same.values")
     return Placement(LIST, shard_key, tuple(Segment(f"{table}_{i:04d}", b, value=v) for i, (v, b) in enumerate(pairs)), key_type)
 
 
