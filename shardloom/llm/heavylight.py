@@ -36,8 +36,8 @@ class HeavyLight:
 
     def __post_init__(self) -> None:
         for n in (self.buckets, self.cells, self.blocks):
-            if n < 1 or n & (n - 1):
-                raise ValueError("sizes must be powers of two")
+            if n < 2 or n & (n - 1):
+                raise ValueError("sizes must be powers of two, 2 or more")
         if self.blocks > self.buckets or self.buckets > self.cells:
             raise ValueError("blocks <= buckets <= cells")
 

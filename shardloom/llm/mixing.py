@@ -12,7 +12,7 @@ from ..lineage import cut
 from ..operators.prefix import running_sums
 
 #: Size of a block, the unit in which sources are scheduled.
-BLOCK = 2048
+BLOCK = 512
 #: Rows whose running sum is taken in one task.
 ROWS_PER_BUCKET = 16384
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -85,9 +85,9 @@ def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Tar
     placed = ranked.withColumn("n", per_source(blocks)).selectExpr("slot", "source", "CAST((rank - 1) div n AS INT) AS pass", "(rank - 1) % n AS block")
     placed = placed.where(F.col("pass") < per_source({t.source: t.max_repeats for t in used}))
 
-    bits = max(0, math.ceil(math.log2(max(1, sum(n for n, _ in sums.values()) / ROWS_PER_BUCKET))))
+    bits = max(0, min(62, math.ceil(math.log2(max(1, sum(n for n, _ in sums.values()) / ROWS_PER_BUCKET)))))
     place = F.xxhash64("id", F.monotonically_increasing_id(), F.lit(seed))  # the row's place in the written table
-    shuffled = rows.withColumn("h", place).withColumn("b", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    shuffled = rows.withColumn("h", F.shiftrightunsigned(place, 1)).withColumn("b", F.shiftright("h", 63 - bits))
     cumulated = running_sums(shuffled, ["source"], "b", ["h", "id"], {"upto": "size"})
     held = cumulated.selectExpr("source", "id", "size", f"(upto - size) div {block} AS block")
     return placed.join(held, ["source", "block"]).select("slot", "source", "pass", F.col("id").alias(record_id), F.col("size").alias(size))

@@ -58,14 +58,19 @@ def _split(ts: list[str], sign: str) -> list[list[str]]:
 
 def _bare(ts: list[str]) -> list[str]:
     """Without brackets that enclose all of it."""
-    while len(ts) > 2 and ts[0] == "(" and ts[-1] == ")":
-        depth = 0
-        for t in ts[:-1]:
-            depth += (t == "(") - (t == ")")
-            if depth == 0:
-                return ts
-        ts = ts[1:-1]
-    return ts
+    n, left, right = len(ts), 0, 0
+    while left < n and ts[left] == "(":
+        left += 1
+    while right < n - left and ts[n - 1 - right] == ")":
+        right += 1
+    if not left or not right:
+        return ts
+    depth = least = left
+    for t in ts[left : n - right]:
+        depth += (t == "(") - (t == ")")
+        least = min(least, depth)
+    most = min(least, right - depth + least)
+    return ts[most : n - most] if 0 < most and 2 * most < n else ts
 
 
 def _terms(ts: list[str], word: str) -> list[str]:
@@ -178,9 +183,12 @@ _FORMS = {"select": _select, "update": _update, "delete": _delete, "insert": _in
 
 
 def canonical(text: str) -> str:
-    """The canonical form. A statement of another shape is its words and signs in their order; empty text is ''."""
+    """The canonical form. A statement of another shape, or nested too deeply, is its words and signs in their order; empty text is ''."""
     ts = tokens(text)
     if not ts:
         return ""
     form = _FORMS.get(ts[0])
-    return (form and form(ts)) or _GAP.join(ts)
+    try:
+        return (form and form(ts)) or _GAP.join(ts)
+    except RecursionError:  # brackets nested hundreds deep
+        return _GAP.join(ts)
