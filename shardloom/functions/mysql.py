@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def to_signed(column: Column) -> Column:
 def to_unsigned(column: Column) -> Column:
     """Unsigned 64-bit; negative numbers wrap as in two's complement."""
     whole = column.cast("decimal(20,0)")
-    return F.when(whole < 0, whole + F.lit(18446744073709551616).cast("decimal(20,0)")).otherwise(whole).cast("decimal(20,0)")
+    return F.when(whole < 0, whole + F.lit(Decimal(1 << 64))).otherwise(whole).cast("decimal(20,0)")
 
 
 def addtime(moment: Column, text: str) -> Column:
