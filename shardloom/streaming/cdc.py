@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -66,3 +67,32 @@ def follow(stream: DataFrame, load: Callable[[], DataFrame], store: Callable[[Da
         store(apply_changes(load(), batch, keys, op, seq), number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class NotCaughtUp(RuntimeError):
+    """The copy still differs from the source after all tries."""
+
+
+def migrate(snapshot: DataFrame, stream: DataFrame, source: Callable[[], DataFrame], path: str, keys: list[str], tries: int = 30, wait_s: float = 5.0) -> DataFrame:
+    """Copies a table, applies the changes made meanwhile, and compares until the copy equals ``source()``.
+
+    The copy lies below ``path``, one folder per micro-batch; the last one written is the table.
+    """
+    spark = snapshot.sparkSession
+    at = [f"{path}/snapshot"]
+    snapshot.write.mode("overwrite").parquet(at[0])
+
+    def load() -> DataFrame:
+        return spark.read.schema(snapshot.schema).parquet(at[0])
+
+    def store(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch{number}")
+        at[0] = f"{path}/batch{number}"
+
+    for left in reversed(range(tries)):
+        follow(stream, load, store, keys, f"{path}/log").awaitTermination()
+        if same_rows(source(), load()):
+            return load()
+        if left:
+            time.sleep(wait_s)
+    raise NotCaughtUp(f"{path} differs from its source after {tries} tries")

@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shardloom.engine import Engine, EngineError
@@ -14,6 +16,7 @@ from shardloom.plans import strict
 from shardloom.plans.catalog import CatalogError, check_shard_key
 from shardloom.plans.dialect import hints, to_spark
 from shardloom.plans.explain import explain_json, segments_of
+from shardloom.plans.lexer import SyntaxProblem, text_of, tokenize, tree
 from shardloom.session import register_tables
 from shardloom.sources import files
 from shardloom.streaming import cdc
@@ -100,6 +103,20 @@ def test_fulltext(spark):
     assert [r.id for r in df.where(M.match_against([F.col("title"), F.col("body")], "数据库")).orderBy("id").collect()] == [1, 3]
 
 
+words = st.sampled_from(["select", "a", "`b c`", "'x''y'", '"q"', "1.5", "0x1F", "(", ")", ",", "<=>", "<=", "=", "and", "from", "t", "/* no */", "-- no\n", "@@v", "."])
+
+
+@given(st.lists(words, max_size=25))
+@settings(max_examples=150, deadline=None)
+def test_text_survives_being_parsed_and_printed(parts):
+    tokens = tokenize(" ".join(parts))
+    try:
+        nodes = tree(tokens)
+    except SyntaxProblem:
+        return
+    assert [t.text for t in tokenize(text_of(nodes))] == [t.text for t in tokens]
+
+
 # ---- strict mode ---------------------------------------------------------------------------------------------------
 
 SHARDS = {
@@ -207,6 +224,9 @@ def test_pruning_by_conditions():
     assert len(segments_of("select x from T where (id = 0 or 1 = id)", lookup)["T"]) == 2
     assert len(segments_of("select x from T where id = 0 or y = 1", lookup)["T"]) == len(SHARDS["T"].segments)
     assert len(segments_of("select x from L where k = 2", lookup)["L"]) == 1
+    both = segments_of("select T.x from T join U on T.id = U.id where T.id = 1", lookup)
+    assert [len(s) for s in both.values()] == [1, 1]  # the equal key is pinned with it
+    assert len(segments_of("select T.x from T left join U on T.id = U.id where U.id = 1", lookup)["T"]) == 64
 
 
 def test_explain():
@@ -318,6 +338,17 @@ def test_cdc_stream(spark, tmp_path):
     assert sorted(map(tuple, state[0].collect())) == [(1, "z"), (3, "c")]
 
 
+def test_migration(spark, tmp_path):
+    source = table(spark, [(1, "a"), (2, "b")], "k int, v string")
+    now = cdc.apply_changes(source, table(spark, [(2, "x", "update", 1), (3, "c", "insert", 2)], "k int, v string, op string, seq int"), ["k"])
+    table(spark, [(2, "x", "update", 1), (3, "c", "insert", 2)], "k int, v string, op string, seq int").write.parquet(f"{tmp_path}/log/p0")
+    stream = spark.readStream.schema("k int, v string, op string, seq int").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log")
+    moved = cdc.migrate(source, stream, lambda: now, f"{tmp_path}/target", ["k"], wait_s=0)
+    assert sorted(map(tuple, moved.collect())) == [(1, "a"), (2, "x"), (3, "c")]
+    with pytest.raises(cdc.NotCaughtUp):
+        cdc.migrate(source, stream, lambda: source, f"{tmp_path}/other", ["k"], tries=2, wait_s=0)
+
+
 # ---- engine --------------------------------------------------------------------------------------------------------
 
 
@@ -366,6 +397,20 @@ def test_engine_transactions_and_persistence(engine, spark):
         Engine(spark, engine.catalog.root, read_only=True).sql("delete from d.t")
 
 
+def test_engine_autocommit_off_and_join_guard(engine):
+    engine.sql("set autocommit = 0")
+    engine.sql("insert into t (name) values ('a'), ('b'), ('c')")
+    engine.sql("rollback")
+    assert rows(engine.sql("select count(*) from t")) == [(0,)]
+    engine.sql("insert into t (name) values ('a'), ('b'), ('c')")
+    engine.sql("commit")
+    assert rows(engine.sql("select count(*) from t")) == [(3,)]
+    engine.max_join_rows = 5
+    assert len(rows(engine.sql("select a.id from t a join t b on a.id = b.id"))) == 3
+    with pytest.raises(joins.TooManyRows):
+        engine.sql("select a.id from t a, t b")
+
+
 def test_engine_definitions(engine):
     engine.sql("insert into t (name) values ('a')")
     engine.sql("alter table t add column n int default 5")
