@@ -73,8 +73,8 @@ def p2_statements(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- p3: frequent items --------------------------------------------------------------------------------------------
 
-#: Of all audit_ids, the part that must hold an item for it to be listed.
-SHARE = 0.01
+#: Of a hundred audit_ids, so many must hold an item for it to be listed.
+PERCENT = 1
 ITEMS = ["argument", "user_host"]
 
 
@@ -82,8 +82,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Values of argument and user_host that 1 % of all audit_ids hold."""
     audit = read_table(spark, d, "audit")
     total = audit.agg(F.count_distinct("audit_id")).first()[0]
-    least = max(1, -(-total * SHARE // 1))
-    found = heavylight.frequent(audit, ITEMS, int(least), event_id="audit_id")
+    least = max(1, -(-total * PERCENT // 100))
+    found = heavylight.frequent(audit, ITEMS, least, event_id="audit_id")
     return found.select(F.col("field").alias("field_name"), "item")
 
 
@@ -134,7 +134,7 @@ SQL = {
     ),
     "p3_found": " UNION ALL ".join(
         f"""SELECT '{f}' AS field_name, {f} AS item FROM audit WHERE {f} IS NOT NULL GROUP BY {f}
-        HAVING count(DISTINCT audit_id) >= {SHARE} * (SELECT count(DISTINCT audit_id) FROM audit)"""
+        HAVING 100 * count(DISTINCT audit_id) >= {PERCENT} * (SELECT count(DISTINCT audit_id) FROM audit)"""
         for f in ITEMS
     ),
     "p5_found": f"""SELECT user_name, command_type FROM (SELECT DISTINCT audit_id, "user" AS user_name, command_type, cost FROM audit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -98,7 +98,6 @@ def shares(mixed: DataFrame, size: str, targets: list[Target]) -> DataFrame:
     spark = mixed.sparkSession
     wanted = spark.createDataFrame([(t.source, t.share) for t in targets], "source string, target_share double")
     got = mixed.groupBy("source").agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("uses"), (F.max("pass") + 1).alias("most_uses"))
-    whole = got.agg(F.sum("size").alias("whole"))
-    joined = F.broadcast(wanted).join(F.broadcast(got), "source", "left").join(F.broadcast(whole))  # one row a target, and one row
-    part = F.coalesce(F.col("size") / F.col("whole"), F.lit(0.0))
-    return joined.select("source", "target_share", part.alias("actual_share"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "uses", "most_uses")))
+    got = got.withColumn("actual_share", F.col("size") / F.sum("size").over(Window.partitionBy()))  # one row a target
+    joined = wanted.join(F.broadcast(got), "source", "left")
+    return joined.select("source", "target_share", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("actual_share", "size", "uses", "most_uses")))
