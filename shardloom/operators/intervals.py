@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import running_sums
-
 #: Width of the time buckets one entity's events are spread over.
 BUCKET_US = 3_600_000_000
 
@@ -30,15 +28,16 @@ def sweep(df: DataFrame, entity: str, start_us: str, end_us: str, bucket_us: int
     events = rows.select("e", F.explode(F.expr("array(struct(s AS at, 1L AS plus, 0L AS minus), struct(t AS at, 0L AS plus, 1L AS minus))")).alias("v"))
     events = events.select("e", F.floor(F.col("v.at") / bucket_us).alias("b"), "v.*").repartition("e", "b")
     instants = events.groupBy("e", "b", "at").agg(F.sum("plus").alias("plus"), F.sum(F.expr("plus - minus")).alias("net"))
-    active = running_sums(instants, ["e"], "b", ["at"], {"open": "net", "seen": "plus"})
-    edges = (
-        active.select("e", "b", "at", "seen", (F.expr("open - net = 0")).alias("opens"), (F.expr("open = 0")).alias("closes"), "plus")
-        .where("opens OR closes")
-        .select("*", F.col("opens").cast("long").alias("one"))
-    )
-    numbered = running_sums(edges, ["e"], "b", ["at"], {"period": "one"})
+    # Within a bucket, counted from its beginning. What is open can only fall to 0 where this count is lowest.
+    upto = Window.partitionBy("e", "b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = instants.select("*", F.sum("net").over(upto).alias("count"), F.sum("plus").over(upto).alias("seen"))
+    rows = rows.withColumn("lowest", F.least(F.lit(0), F.min("count").over(Window.partitionBy("e", "b"))))
+    rows = rows.selectExpr("e", "b", "at", "plus", "net", "seen", "lowest", "count - net = lowest AS opens", "count = lowest AS closes")
+    rows = rows.withColumn("period", F.sum(F.col("opens").cast("long")).over(upto))
+    edges = rows.where("opens OR closes").join(_carried(rows), ["e", "b"])
+    edges = edges.selectExpr("e", "at", "plus", "seen + seen_before AS seen", "opens", "closes", "period + periods_before AS period")
     # Each edge tells its period its start or end; a start also tells the period before where the gap ends.
-    told = numbered.select(
+    told = edges.select(
         "e",
         F.explode(
             F.expr("""filter(array(
@@ -56,6 +55,20 @@ def sweep(df: DataFrame, entity: str, start_us: str, end_us: str, bucket_us: int
     )
 
 
+def _carried(rows: DataFrame) -> DataFrame:
+    """What the buckets before it hand to each bucket in which the count does fall to 0.
+
+    One row per bucket goes through a window over the entity. Intervals, and periods of buckets that do not fall to 0,
+    are left open by them.
+    """
+    buckets = rows.groupBy("e", "b").agg(F.sum("net").alias("net"), F.sum("plus").alias("plus"), F.min("lowest").alias("lowest"), F.sum(F.col("opens").cast("long")).alias("opens"))
+    before = Window.partitionBy("e").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select("*", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("open"), F.coalesce(F.sum("plus").over(before), F.lit(0)).alias("seen_before"))
+    carried = carried.withColumn("falls", F.expr("open + lowest = 0"))
+    carried = carried.withColumn("periods_before", F.coalesce(F.sum(F.when(F.col("falls"), F.col("opens")).otherwise(0)).over(before), F.lit(0)))
+    return carried.where("falls").select("e", "b", "seen_before", "periods_before")
+
+
 def periods_and_gaps(df: DataFrame, entity: str, start_us: str, end_us: str, min_count: int = 1, min_gap_us: int = 1, bucket_us: int = BUCKET_US) -> DataFrame:
     """(entity, kind, from_us, to_us): 'busy' periods of ``min_count`` intervals or more, 'gap's of ``min_gap_us`` or more.
 
