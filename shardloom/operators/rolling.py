@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def trailing_totals(df: DataFrame, entity: str, day: str, value: str, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """For each entity and each calendar day from its first to its last row: totals of the trailing ``windows``.
@@ -26,6 +28,7 @@ def trailing_totals(df: DataFrame, entity: str, day: str, value: str, windows: t
         .groupBy("e", "d")
         .agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
     )
+    daily = cut(daily, "daily")  # small beside the rows, and used three times
     spans = daily.groupBy("e").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     calendar = spans.select("e", "lo", F.explode(F.sequence("lo", "hi")).alias("day"))
     calendar = calendar.select("*", F.explode(F.expr(f"array_distinct(array(floor(day / {width}), floor((day - {width - 1}) / {width})))")).alias("b"))
