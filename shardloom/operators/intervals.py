@@ -26,7 +26,9 @@ def sweep(df: DataFrame, entity: str, start_us: str, end_us: str, bucket_us: int
     rows = df.select(F.col(entity).alias("e"), F.col(start_us).cast("long").alias("s"), F.col(end_us).cast("long").alias("t"))
     rows = rows.where("e IS NOT NULL AND s <= t")
     events = rows.select("e", F.explode(F.expr("array(struct(s AS at, 1L AS plus, 0L AS minus), struct(t AS at, 0L AS plus, 1L AS minus))")).alias("v"))
-    events = events.select("e", F.floor(F.col("v.at") / bucket_us).alias("b"), "v.*").repartition("e", "b")
+    events = events.select("e", F.floor(F.col("v.at") / bucket_us).alias("b"), "v.*")
+    # The filter holds anyway; where it stands, both readers of the partitioned events have it, and so share them.
+    events = events.where("b IS NOT NULL").repartition("e", "b")
     instants = events.groupBy("e", "b", "at").agg(F.sum("plus").alias("plus"), F.sum(F.expr("plus - minus")).alias("net"))
     # Within a bucket, counted from its beginning. What is open can only fall to 0 where this count is lowest.
     upto = Window.partitionBy("e", "b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
