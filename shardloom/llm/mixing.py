@@ -46,7 +46,8 @@ def reachable_total(available: dict[str, int], targets: list[Target]) -> float:
 def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Target], total: float | None = None, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """(slot, source, pass, record_id, size): the records of the mix, to be read in the order of ``slot``.
 
-    The records of each source are shuffled and cut into blocks of equal size. Slot i of the schedule goes to the
+    The records of each source are shuffled and cut into blocks of equal size; a record lies in the block of its middle,
+    so that a large one is neither drawn long before its slots nor long after. Slot i of the schedule goes to the
     source within whose cumulative share the point frac((i + 1) * golden ratio) lies; these points are spread so
     evenly that any stretch of slots is close to the shares. The r-th slot of a source takes its r-th block, starting
     over after the last, at most ``max_repeats`` times. ``total`` defaults to the greatest size at which every source
@@ -89,7 +90,7 @@ def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Tar
     place = F.xxhash64("id", F.monotonically_increasing_id(), F.lit(seed))  # the row's place in the written table
     shuffled = rows.withColumn("h", F.shiftrightunsigned(place, 1)).withColumn("b", F.shiftright("h", 63 - bits))
     cumulated = running_sums(shuffled, ["source"], "b", ["h", "id"], {"upto": "size"})
-    held = cumulated.selectExpr("source", "id", "size", f"(upto - size) div {block} AS block")
+    held = cumulated.selectExpr("source", "id", "size", f"(2 * upto - size) div {2 * block} AS block")
     return placed.join(held, ["source", "block"]).select("slot", "source", "pass", F.col("id").alias(record_id), F.col("size").alias(size))
 
 

@@ -16,10 +16,12 @@ from shardloom.llm.tokens import PATTERN, encoder, token_sizes
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, data, name):
+    if name.startswith("p9_"):
+        data = data.replace("sf0.001", "sf0.01")  # in a hundred documents the scarcest source has a few tokens
     got = compare.spark_rows(queries.QUERIES[name](spark, data))
     if name in queries.SQL:
         assert got == compare.duck_rows(compare.connect(data), queries.SQL[name])
-    elif name not in ("p8_fill",):
+    else:
         assert got[1]
 
 
