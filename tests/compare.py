@@ -13,7 +13,8 @@ import duckdb
 def connect(directory: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for p in sorted(Path(directory).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+        files = f"{p}/*.parquet" if p.is_dir() else p
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
