@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators.prefix import fresh
 
 
@@ -204,13 +205,11 @@ def frequent(df: DataFrame, columns: list[str], least: int, event_id: str | None
     """(field, item, n): all items held by ``least`` rows or more (with ``event_id``: by that many different ids).
 
     The sketch names the candidates: residents whose upper bound reaches ``least``, and items in a light cell that
-    does. Both are at most (rows / least) per column. Only rows of candidates are then counted exactly: they are
+    does. Both are at most (rows / least) per column, and never more than the sketch has places. Only rows of candidates are then counted exactly: they are
     picked by their hash while reading, first brought together by item and id, so that a hot item is spread.
     """
     if least < 1:
         raise ValueError("least must be at least 1")
-    from ..lineage import cut
-
     sketch = cut(merged(build(df, columns, p), p), "heavylight")
     candidates = residents(sketch, p).where(F.col("upper") >= least).select("field", "key").collect()
     cells = hot_cells(sketch, least, p).collect()
