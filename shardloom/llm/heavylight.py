@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -188,40 +188,95 @@ def residents(sketch: DataFrame, p: HeavyLight = HeavyLight()) -> DataFrame:
     return sketch.mapInArrow(run, "field string, item string, key bigint, lower bigint, upper bigint")
 
 
-def hot_cells(sketch: DataFrame, least: int, p: HeavyLight = HeavyLight()) -> DataFrame:
-    """(field, cell): light cells that reach ``least``: at most (number of rows) / least of them."""
+def hot_cells(sketch: DataFrame, least: dict[str, int], p: HeavyLight = HeavyLight()) -> DataFrame:
+    """(field, cell): light cells that reach ``least`` of their field: at most (number of rows) / least of them."""
     wide = p.cells // p.blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hot = np.flatnonzero(np.frombuffer(row["light"], np.int64) >= least) + row["block"] * wide
+                hot = np.flatnonzero(np.frombuffer(row["light"], np.int64) >= least[row["field"]]) + row["block"] * wide
                 yield pa.RecordBatch.from_arrays([pa.array([row["field"]] * len(hot), pa.string()), pa.array(hot.astype(np.int64))], names=["field", "cell"])
 
     return sketch.mapInArrow(run, "field string, cell bigint")
 
 
-def frequent(df: DataFrame, columns: list[str], least: int, event_id: str | None = None, p: HeavyLight = HeavyLight()) -> DataFrame:
-    """(field, item, n): all items held by ``least`` rows or more (with ``event_id``: by that many different ids).
+def _among(cell: Column, cells: list[int], p: HeavyLight) -> Column:
+    """Whether the cell is one of ``cells``: a map of bits, of one size even if all cells are hot."""
+    words = np.zeros(max(1, p.cells // 64), np.uint64)
+    at = np.array(cells, np.int64)
+    np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return F.getbit(F.get(F.lit(words.view(np.int64)), F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(63).cast("int")) == 1
+
+
+def _counted(df: DataFrame, columns: list[str], keys: dict[str, list[int]], cells: dict[str, list[int]], event_id: str | None, p: HeavyLight) -> DataFrame:
+    """(field, item, n): exact counts of the items of each column whose hash is in ``keys`` or whose cell is in ``cells``.
 
-    The sketch names the candidates: residents whose upper bound reaches ``least``, and items in a light cell that
-    does. Both are at most (rows / least) per column, and never more than the sketch has places. Only rows of candidates are then counted exactly: they are
-    picked by their hash while reading, first brought together by item and id, so that a hot item is spread.
+    Their rows are picked by their hash while reading, first brought together by item and id, so that a hot item is
+    spread.
     """
-    if least < 1:
-        raise ValueError("least must be at least 1")
-    sketch = cut(merged(build(df, columns, p), p), "heavylight")
-    candidates = residents(sketch, p).where(F.col("upper") >= least).select("field", "key").collect()
-    cells = hot_cells(sketch, least, p).collect()
     taken, = fresh(df.columns, "_f")
     parts = []
     for c in columns:
         s = F.col(c).cast("string")
         key = F.xxhash64(s)
-        near = key.isin([r["key"] for r in candidates if r["field"] == c])
-        cold = F.shiftrightunsigned(key, 65 - p.cells.bit_length()).isin([r["cell"] for r in cells if r["field"] == c])
-        parts.append(F.when(s.isNotNull() & (near | cold), F.struct(F.lit(c).alias("field"), s.alias("item"))))
+        picked = key.isin(keys.get(c, []))
+        if cells.get(c):
+            picked |= _among(F.shiftrightunsigned(key, 65 - p.cells.bit_length()), cells[c], p)
+        parts.append(F.when(s.isNotNull() & picked, F.struct(F.lit(c).alias("field"), s.alias("item"))))
     rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias(taken), *([F.col(event_id).alias("_id")] if event_id else []))
     grouped = rows.groupBy(F.col(f"{taken}.field").alias("field"), F.col(f"{taken}.item").alias("item"))
     n = F.count_distinct(F.col("_id")) if event_id else F.count(F.lit(1))
-    return grouped.agg(n.alias("n")).where(F.col("n") >= least)
+    return grouped.agg(n.alias("n"))
+
+
+def _by_field(rows: list[Row], column: str) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for r in rows:
+        out.setdefault(r["field"], []).append(r[column])
+    return out
+
+
+def _reaching(df: DataFrame, columns: list[str], sketch: DataFrame, least: dict[str, int], event_id: str | None, p: HeavyLight) -> DataFrame:
+    """(field, item, n): all items of each column that reach its ``least``, counted exactly.
+
+    The sketch names the candidates: residents whose upper bound reaches it, and items in a light cell that does.
+    """
+    near = [r for r in residents(sketch, p).select("field", "key", "upper").collect() if r["upper"] >= least[r["field"]]]
+    cells = hot_cells(sketch, least, p).collect()
+    floor = F.coalesce(*(F.when(F.col("field") == c, F.lit(n)) for c, n in least.items()))
+    return _counted(df, columns, _by_field(near, "key"), _by_field(cells, "cell"), event_id, p).where(F.col("n") >= floor)
+
+
+def frequent(df: DataFrame, columns: list[str], least: int, event_id: str | None = None, p: HeavyLight = HeavyLight()) -> DataFrame:
+    """(field, item, n): all items held by ``least`` rows or more (with ``event_id``: by that many different ids).
+
+    Candidates, residents and light cells, are at most (rows / least) per column, and never more than the sketch has
+    places. Only their rows are then counted exactly.
+    """
+    if least < 1:
+        raise ValueError("least must be at least 1")
+    sketch = cut(merged(build(df, columns, p), p), "heavylight")
+    return _reaching(df, columns, sketch, dict.fromkeys(columns, least), event_id, p)
+
+
+def top(df: DataFrame, columns: list[str], k: int, event_id: str | None = None, p: HeavyLight = HeavyLight()) -> DataFrame:
+    """(field, item, n): the ``k`` items of each column held by most rows (with ``event_id``: by most different ids).
+
+    Of equal counts the smaller item goes first. The residents are counted exactly; the k-th greatest of their counts
+    is the least any of the k can have, and all items that reach it are found as in :func:`frequent`, so none is missed
+    that was pushed out of its bucket. With fewer than k residents all items are counted. The flatter the counts near
+    the k-th, the more light cells reach it; the rows counted then grow up to the whole table, the result stays exact.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    sketch = cut(merged(build(df, columns, p), p), "heavylight")
+    best = Window.partitionBy("field").orderBy(F.desc("n"), "item")
+
+    def ranked(counts: DataFrame) -> DataFrame:
+        return counts.where("n > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    seated = _by_field(residents(sketch, p).select("field", "key").collect(), "key")
+    last = ranked(_counted(df, columns, seated, {}, event_id, p)).where(F.col("rank") == k).select("field", "n").collect()
+    least = dict.fromkeys(columns, 1) | {r["field"]: r["n"] for r in last}
+    return ranked(_reaching(df, columns, sketch, least, event_id, p)).drop("rank")

@@ -207,6 +207,35 @@ def test_frequent_special_cases(spark):
         heavylight.frequent(df, ["a"], 0)
 
 
+@pytest.mark.parametrize("p", [heavylight.HeavyLight(), heavylight.HeavyLight(16, 64, 8, 4), heavylight.HeavyLight(2, 2, 1, 2)])
+@pytest.mark.parametrize("k", [1, 25, 100_000])
+def test_top_items_are_whole_at_any_size_of_sketch(spark, p, k):
+    rows = [(i, s, None if i % 5 else "x") for i, s in enumerate(zipf(6000, 1))]
+    df = spark.createDataFrame(rows, "id long, a string, b string").repartition(7)
+    doubled = df.union(df.where("id % 3 = 0"))
+    got = sorted(((r["item"], r["n"]) for r in heavylight.top(doubled, ["a", "b"], k, "id", p).collect() if r["field"] == "a"), key=lambda r: (-r[1], r[0]))
+    assert got == sorted(collections.Counter(r[1] for r in rows).items(), key=lambda r: (-r[1], r[0]))[:k]
+    assert [tuple(r) for r in heavylight.top(doubled, ["b"], k, "id", p).collect()] == [("b", "x", 1200)]
+    assert heavylight.top(df.limit(0), ["a"], k, "id", p).collect() == []
+
+
+def colliding_hot_values(spark, n=120, buckets=10):
+    """Values that share few buckets of the sketch, the hottest 120 times as frequent as the coldest."""
+    made = spark.range(100_000).selectExpr("concat('v', id) AS v", "xxhash64(concat('v', id)) AS h").collect()
+    bucket = heavylight.Sketch(heavylight.HeavyLight()).bucket(np.array([r["h"] for r in made], np.int64))
+    crowded = [r["v"] for r, b in zip(made, bucket, strict=True) if b < buckets][:n]
+    assert len(crowded) == n
+    return [v for k, v in enumerate(crowded) for _ in range(k + 1)]
+
+
+def test_p3_top_lists_hot_values_of_one_bucket(spark, tmp_path):
+    values = colliding_hot_values(spark)
+    rows = spark.createDataFrame([(i, v, "h") for i, v in enumerate(values)], "audit_id long, argument string, user_host string")
+    rows.repartition(6).write.parquet(f"{tmp_path}/audit.parquet")
+    got = queries.QUERIES["p3_top"](spark, str(tmp_path)).where("field_name = 'argument'").collect()
+    assert {(r["item"], r["lower"], r["upper"]) for r in got} == {(v, n, n) for v, n in collections.Counter(values).most_common(100)}
+
+
 # ---- p5: percentiles -----------------------------------------------------------------------------------------------
 
 
