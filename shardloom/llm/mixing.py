@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..operators.prefix import running_sums
 
-#: Size of a block, the unit in which sources are scheduled.
+#: Greatest size of a block, the unit in which sources are scheduled.
 BLOCK = 512
+#: Blocks are made smaller until the source of the least share has so many slots.
+LEAST_SLOTS = 8
 #: Rows whose running sum is taken in one task.
 ROWS_PER_BUCKET = 16384
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -37,10 +39,16 @@ def _choose(u: Column, bounds: list[tuple[str, float]]) -> Column:
     return chosen
 
 
-def reachable_total(available: dict[str, int], targets: list[Target]) -> float:
-    """The greatest total size at which no source must repeat more than it may."""
-    limits = [t.max_repeats * available[t.source] / t.share for t in targets if t.share > 0 and available.get(t.source)]
-    return min(limits, default=0.0)
+def reachable_total(available: dict[str, int], targets: list[Target], mean: dict[str, float] | None = None) -> float:
+    """The greatest total size at which no source must repeat more than it may.
+
+    With ``mean``, the mean record size of each source: sources so scarce that, at the total they allow, the share of
+    some source is less than one mean record of it do not count, as the shares cannot be met with so few records.
+    """
+    usable = [t for t in targets if t.share > 0 and available.get(t.source)]
+    limits = sorted(t.max_repeats * available[t.source] / t.share for t in usable)
+    least = max((mean[t.source] / t.share for t in usable), default=0.0) if mean else 0.0
+    return next((n for n in limits if n >= least), 0.0)
 
 
 def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Target], total: float | None = None, block: int = BLOCK, seed: int = 1) -> DataFrame:
@@ -51,7 +59,9 @@ def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Tar
     source within whose cumulative share the point frac((i + 1) * golden ratio) lies; these points are spread so
     evenly that any stretch of slots is close to the shares. The r-th slot of a source takes its r-th block, starting
     over after the last, at most ``max_repeats`` times. ``total`` defaults to the greatest size at which every source
-    reaches its share; if more is asked, sources that have run out leave their slots empty.
+    reaches its share, apart from sources that are too scarce for that (see :func:`reachable_total`): these run out,
+    as some do if a greater total is asked, and leave their slots empty. Blocks have ``block`` at most, and less where
+    the source of the least share would get fewer than LEAST_SLOTS slots.
 
     Sources without a target, records with a null id or source, and of size null or 0 are left out. A source without
     records gets no slots; the others keep their proportions. Repeated rows are records of their own. An empty table
@@ -67,7 +77,9 @@ def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Tar
     sums = {r["source"]: (r["n"], r["size"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     available = {s: held for s, (_, held) in sums.items()}
     used = [t for t in targets if available.get(t.source) and t.share > 0 and t.max_repeats > 0]
-    slots = int((reachable_total(available, used) if total is None else total) // block)
+    total = reachable_total(available, used, {s: held / n for s, (n, held) in sums.items()}) if total is None else total
+    block = max(1, min(block, int(total * min((t.share for t in used), default=0.0) / LEAST_SLOTS)))
+    slots = int(total // block)
     if not used or not slots:
         return spark.createDataFrame([], f"slot bigint, source string, pass int, `{record_id}` {kind}, `{size}` bigint")
     whole, bounds, upper = sum(t.share for t in used), [], 0.0

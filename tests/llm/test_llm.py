@@ -398,6 +398,30 @@ def test_mix_special_cases(spark):
     assert {r["source"]: r["actual_share"] for r in mixing.shares(mixing.mix(df, "id", "source", "size", TARGETS, block=10), "size", TARGETS).collect()} == {"big": 1.0, "mid": 0.0, "tiny": 0.0}
 
 
+def test_mix_is_not_shrunk_by_one_tiny_source(spark):
+    df, rows = corpus(spark, {"big": 3000, "mid": 1200})
+    df = df.union(spark.createDataFrame([(-1, "tiny", 15)], df.schema))
+    got = mixing.mix(df, "id", "source", "size", TARGETS).collect()
+    held = collections.Counter()
+    for r in got:
+        held[r["source"]] += r["size"]
+    assert held["tiny"] == 4 * 15  # all that may be used of it
+    assert held["big"] / held["mid"] == pytest.approx(5 / 3, rel=0.05)
+    assert held["big"] + held["mid"] > 0.5 * sum(n for _, _, n in rows)
+
+
+def test_mix_of_small_total_has_slots_of_every_source(spark):
+    df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(["big"] * 100 + ["mid"] * 100 + ["tiny"] * 10)], "id long, source string, size long")
+    shares = mixing.shares(mixing.mix(df, "id", "source", "size", TARGETS), "size", TARGETS).collect()
+    assert {r["source"]: r["actual_share"] for r in shares} == pytest.approx({"big": 0.5, "mid": 0.3, "tiny": 0.2}, abs=0.026)  # one of 40 slots
+
+
+@pytest.mark.parametrize("name", ["p9_mix", "p9_shares"])
+def test_mix_of_a_hundred_documents(spark, data, name):
+    rows = queries.QUERIES[name](spark, data).collect()
+    assert len({r["source"] for r in rows if name == "p9_mix" or r["uses"]}) == 8
+
+
 # ---- p10: visual forms ---------------------------------------------------------------------------------------------
 
 ALIKE = [
