@@ -88,8 +88,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_top(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred values of each field seen most often among all lines, with the bounds of their counts, which are exact."""
-    found = heavylight.top(read_table(spark, d, "audit"), ITEMS, 100)
+    """The hundred values of each field that most audit_ids hold, with the bounds of their counts, which are exact."""
+    found = heavylight.top(read_table(spark, d, "audit"), ITEMS, 100, event_id="audit_id")
     return found.select(F.col("field").alias("field_name"), "item", F.col("n").alias("lower"), F.col("n").alias("upper"))
 
 

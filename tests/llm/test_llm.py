@@ -219,6 +219,16 @@ def test_top_items_are_whole_at_any_size_of_sketch(spark, p, k):
     assert heavylight.top(df.limit(0), ["a"], k, "id", p).collect() == []
 
 
+def test_p3_top_counts_each_audit_id_once(spark, data):
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["p3_top"](spark, data).collect():
+        got[r["field_name"]].append((r["item"], r["lower"], r["upper"]))
+    con = compare.connect(data)
+    for field in ("argument", "user_host"):
+        sql = f"SELECT {field}, count(DISTINCT audit_id) AS n, count(DISTINCT audit_id) FROM audit WHERE {field} IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 100"
+        assert sorted(got[field]) == sorted(con.execute(sql).fetchall())
+
+
 def colliding_hot_values(spark, n=120, buckets=10):
     """Values that share few buckets of the sketch, the hottest 120 times as frequent as the coldest."""
     made = spark.range(100_000).selectExpr("concat('v', id) AS v", "xxhash64(concat('v', id)) AS h").collect()
