@@ -20,16 +20,20 @@ def _fields(*names: str) -> Column:
 
 
 def _registers(spark: SparkSession, d: str, *fields: str) -> DataFrame:
-    """Registers per field, account and day. Lines shipped again change nothing, as registers take the maximum."""
+    """Registers per field, account and day, either of which may be null: levels leave out rows null in what they group by.
+
+    Lines shipped again change nothing, as registers take the maximum.
+    """
     rows = read_table(spark, d, "audit").select(F.col("user").alias("user_name"), F.to_date("start").alias("day"), _fields(*fields).alias("f"))
-    rows = rows.where("user_name IS NOT NULL AND day IS NOT NULL AND f.there").select("f.field_name", "user_name", "day", "f.item")
+    rows = rows.where("f.there").select("f.field_name", "user_name", "day", "f.item")
     return setsketch.fill(rows, ["field_name", "user_name", "day"], F.col("item"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Accounts and days with 50 or more different hosts or connections."""
     keys = ["field_name", "user_name", "day"]
-    counts = setsketch.estimate(setsketch.pack(_registers(spark, d, "user_host", "thread_id"), keys), keys)
+    fine = _registers(spark, d, "user_host", "thread_id").where("user_name IS NOT NULL AND day IS NOT NULL")
+    counts = setsketch.estimate(setsketch.pack(fine, keys), keys)
     return counts.where(F.col("estimate") >= MANY).select("field_name", "user_name", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
@@ -37,7 +41,8 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts with their standard error per day, per account, and per account and day, merged from one set of registers."""
     keys = ["field_name", "user_name", "day"]
     fine = _registers(spark, d, "user_host", "thread_id", "user")
-    levels = F.explode(F.expr("array(struct(user_name, day), struct(user_name, CAST(NULL AS DATE) AS day), struct(CAST(NULL AS STRING) AS user_name, day))"))
+    both, account, day = "struct(user_name, day)", "struct(user_name, CAST(NULL AS DATE) AS day)", "struct(CAST(NULL AS STRING) AS user_name, day)"
+    levels = F.explode(F.expr(f"array_compact(array(IF(user_name IS NOT NULL AND day IS NOT NULL, {both}, NULL), IF(user_name IS NOT NULL, {account}, NULL), IF(day IS NOT NULL, {day}, NULL)))"))
     all_levels = fine.select("field_name", levels.alias("g"), "register", "value").select("field_name", "g.*", "register", "value")
     counts = setsketch.estimate(setsketch.pack(setsketch.merge(all_levels, keys), keys), keys)
     return counts.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
@@ -46,7 +51,8 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Union, intersection and Jaccard of each day's values and the next day's, with standard errors."""
     keys = ["field_name", "day"]
-    days = setsketch.pack(setsketch.merge(_registers(spark, d, "user_host", "thread_id", "user"), keys), keys)
+    fine = _registers(spark, d, "user_host", "thread_id", "user").where("day IS NOT NULL")
+    days = setsketch.pack(setsketch.merge(fine, keys), keys)
     after = days.select("field_name", F.date_sub("day", 1).alias("day"), F.col("sketch").alias("next"))
     out = setsketch.compare(days.join(after, keys), keys, "sketch", "next")
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))

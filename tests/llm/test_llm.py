@@ -86,6 +86,19 @@ def test_registers_special_cases(spark):
         setsketch.Registers(64, 1.01)
 
 
+def test_p1_levels_keep_rows_null_in_what_they_do_not_group_by(spark, tmp_path):
+    lines = [(None, d, f"h{i}") for d in ("2024-01-01", "2024-01-02") for i in range(30)]  # no account
+    lines += [("a", "2024-01-01", f"i{i}") for i in range(10)] + [("a", None, f"j{i}") for i in range(20)]
+    df = spark.createDataFrame([(k, *r, None) for k, r in enumerate(lines)], "audit_id long, user string, start string, user_host string, thread_id long")
+    df.withColumn("start", F.col("start").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/audit.parquet")
+    counts = queries.QUERIES["p1_counts"](spark, str(tmp_path)).where("field_name = 'user_host'").collect()
+    want = {(None, "2024-01-01"): 40, (None, "2024-01-02"): 30, ("a", None): 30, ("a", "2024-01-01"): 10}
+    assert {(r["user_name"], r["day"]): r["estimate"] for r in counts} == pytest.approx(want, rel=0.08)
+    overlap = queries.QUERIES["p1_overlap"](spark, str(tmp_path)).where("field_name = 'user_host'").collect()
+    assert [(r["day"], r["union"], r["intersection"]) for r in overlap] == [("2024-01-01", pytest.approx(40, rel=0.08), pytest.approx(30, rel=0.08))]
+    assert queries.QUERIES["p1_found"](spark, str(tmp_path)).collect() == []
+
+
 # ---- p2: formatting duplicates -------------------------------------------------------------------------------------
 
 SAME = [
