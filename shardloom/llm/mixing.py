@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,14 +77,16 @@ def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Tar
     sums = {r["source"]: (r["n"], r["size"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     available = {s: held for s, (_, held) in sums.items()}
     used = [t for t in targets if available.get(t.source) and t.share > 0 and t.max_repeats > 0]
+    whole = sum(t.share for t in used)
+    used = [replace(t, share=t.share / whole) for t in used]
     total = reachable_total(available, used, {s: held / n for s, (n, held) in sums.items()}) if total is None else total
     block = max(1, min(block, int(total * min((t.share for t in used), default=0.0) / LEAST_SLOTS)))
     slots = int(total // block)
     if not used or not slots:
         return spark.createDataFrame([], f"slot bigint, source string, pass int, `{record_id}` {kind}, `{size}` bigint")
-    whole, bounds, upper = sum(t.share for t in used), [], 0.0
+    bounds, upper = [], 0.0
     for t in used:
-        upper += t.share / whole
+        upper += t.share
         bounds.append((t.source, upper))
 
     points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id + 1) * {GOLDEN!r}D % 1").alias("u"))

@@ -439,6 +439,12 @@ def test_mix_of_small_total_has_slots_of_every_source(spark):
     assert {r["source"]: r["actual_share"] for r in shares} == pytest.approx({"big": 0.5, "mid": 0.3, "tiny": 0.2}, abs=0.026)  # one of 40 slots
 
 
+def test_mix_without_one_source_keeps_the_proportions_of_the_others(spark):
+    df, _ = corpus(spark, {"big": 3000, "mid": 1200})
+    shares = mixing.shares(mixing.mix(df, "id", "source", "size", TARGETS), "size", TARGETS).collect()
+    assert {r["source"]: r["actual_share"] for r in shares} == pytest.approx({"big": 0.625, "mid": 0.375, "tiny": 0.0}, abs=0.01)
+
+
 @pytest.mark.parametrize("name", ["p9_mix", "p9_shares"])
 def test_mix_of_a_hundred_documents(spark, data, name):
     rows = queries.QUERIES[name](spark, data).collect()
