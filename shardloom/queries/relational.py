@@ -200,6 +200,12 @@ def join_nullsafe(t):
     return joins.null_safe_join(x, y, [(F.col("x.name"), F.col("y.name")), (F.col("x.id"), F.col("y.id"))]).select(F.col("x.id").alias("left_id"), F.col("y.id").alias("right_id"))
 
 
+@query("SELECT x.id AS left_id, y.id AS right_id FROM mock_a x JOIN mock_b y ON x.name IS NOT DISTINCT FROM y.name AND x.id = y.id")
+def join_nullsafe_whole(t):
+    x, y = t("mock_a").alias("x"), t("mock_b").alias("y")
+    return joins.null_safe_join(x, y, [(F.col("x.name"), F.col("y.name")), (F.col("x.id"), F.col("y.id"))]).select(F.col("x.id").alias("left_id"), F.col("y.id").alias("right_id"))
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t):
     return t("region").crossJoin(t("nation")).select("r_name", "n_name")
@@ -415,6 +421,26 @@ def order_expr(t):
     return ordering.limit(ordering.order_by(rows, "cd", "id"), 30)
 
 
+@query("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey")
+def order_hidden_col_whole(t):
+    return ordering.order_by(t("customer"), "c_acctbal", "c_custkey").select("c_name")
+
+
+@query("SELECT id, a FROM mock_a ORDER BY a ASC NULLS FIRST, id")
+def order_nulls_whole(t):
+    return ordering.order_by(t("mock_a").select("id", "a"), "a", "id")
+
+
+@query("SELECT id, a FROM mock_a ORDER BY a DESC NULLS LAST, id")
+def order_nulls_desc_whole(t):
+    return ordering.order_by(t("mock_a").select("id", "a"), ("a", "desc"), "id")
+
+
+@query("SELECT id, c + d AS cd FROM mock_a ORDER BY c + d NULLS FIRST, id")
+def order_expr_whole(t):
+    return ordering.order_by(t("mock_a").select("id", (F.col("c") + F.col("d")).alias("cd")), "cd", "id")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 def limit_offset(t):
     return ordering.limit(ordering.order_by(t("orders").select("o_orderkey", "o_totalprice"), ("o_totalprice", "desc"), "o_orderkey"), 10, 5)

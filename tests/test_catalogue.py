@@ -24,6 +24,14 @@ def test_query(spark, data, con, name):
         assert got[1]
 
 
+@pytest.mark.parametrize("name", ["order_nulls_whole", "order_nulls_desc_whole", "order_hidden_col_whole", "order_expr_whole"])
+def test_whole_tables_come_out_in_order(spark, data, con, name):
+    got = [tuple(r) for r in CORE[name](spark, data).collect()]
+    assert got == con.execute(SQL[name]).fetchall()
+    assert len(got) == con.execute(f"SELECT count(*) FROM {'customer' if 'hidden' in name else 'mock_a'}").fetchone()[0]
+    assert len(got) > 40
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
