@@ -67,6 +67,87 @@ def to_unsigned(column: Column) -> Column:
     return F.when(whole < 0, whole + F.lit(Decimal(1 << 64))).otherwise(whole).cast("decimal(20,0)")
 
 
+# ---- SQL texts, for the dialect. A value used several times is named once, as the argument of a lambda. -------------
+
+#: Values of 64-bit numbers with and without a sign wrap at these.
+_HALF, _WHOLE = 1 << 63, 1 << 64
+
+
+def _named(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _number_sql(value: str) -> str:
+    """The value as a whole number: numbers are rounded, texts read as far as they are a number, times by their digits."""
+    text = f"CAST({value} AS STRING)"
+    lead = f"regexp_extract({text}, '^ *([+-]?[0-9]+)', 1)"
+    return (
+        f"CAST(CASE WHEN {value} IS NULL THEN NULL WHEN typeof({value}) = 'string' THEN coalesce(nullif({lead}, ''), '0') "
+        f"WHEN typeof({value}) = 'boolean' THEN IF({text} = 'true', '1', '0') "
+        f"WHEN typeof({value}) IN ('date', 'timestamp', 'timestamp_ntz') THEN regexp_replace(substring({text}, 1, 19), '[^0-9]', '') "
+        f"ELSE {text} END AS DECIMAL(38, 0))"
+    )
+
+
+def signed_sql(value: str) -> str:
+    """CAST .. AS SIGNED: beyond 64 bits the number wraps."""
+    wrapped = f"CAST(pmod({_number_sql(value)} + {_HALF}BD, {_WHOLE}BD) - {_HALF}BD AS BIGINT)"
+    return f"CASE WHEN typeof({value}) IN ('tinyint', 'smallint', 'int', 'bigint') THEN CAST({value} AS BIGINT) ELSE {wrapped} END"
+
+
+def unsigned_sql(value: str) -> str:
+    """CAST .. AS UNSIGNED: a negative number wraps."""
+    return f"CAST(pmod({_number_sql(value)}, {_WHOLE}BD) AS DECIMAL(20, 0))"
+
+
+def time_us(text: str) -> str:
+    """Microseconds of a time as text: [-][days ]hours:minutes[:seconds[.fraction]], or digits hhmmss; a date before it is dropped."""
+    clock = f"regexp_replace(trim({text}), '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}([ T]|$)', '')"
+    bare = "regexp_replace(s, '^-', '')"
+    days = f"coalesce(CAST(nullif(regexp_extract({bare}, '^([0-9]+) ', 1), '') AS BIGINT), 0L)"
+    rest = f"regexp_replace({bare}, '^[0-9]+ +', '')"
+    part = lambda i: f"coalesce(CAST(nullif(regexp_extract(c, '^([0-9]*):?([0-9]*):?([0-9]*)', {i}), '') AS BIGINT), 0L)"
+    fraction = "coalesce(CAST(rpad(nullif(regexp_extract(c, '[.]([0-9]{1,6})', 1), ''), 6, '0') AS BIGINT), 0L)"
+    digits = "coalesce(CAST(nullif(regexp_extract(c, '^([0-9]+)', 1), '') AS BIGINT), 0L)"
+    # 'days hours' has a blank and no colon.
+    seconds = f"CASE WHEN contains(c, ':') THEN {part(1)} * 3600 + {part(2)} * 60 + {part(3)} WHEN contains(s, ' ') THEN {digits} * 3600 ELSE {digits} div 10000 * 3600 + {digits} div 100 % 100 * 60 + {digits} % 100 END"
+    return _named(clock, "s", f"IF(s IS NULL, NULL, IF(startswith(s, '-'), -1L, 1L) * ({days} * 86400000000 + " + _named(rest, "c", f"({seconds}) * 1000000 + {fraction}") + "))")
+
+
+def time_text(us: str) -> str:
+    """The text of a time in microseconds."""
+    two = lambda n: f"lpad(CAST({n} AS STRING), 2, '0')"
+    hours = "CAST(abs(u) div 3600000000 AS STRING)"
+    fraction = "IF(abs(u) % 1000000 = 0, '', concat('.', lpad(CAST(abs(u) % 1000000 AS STRING), 6, '0')))"
+    return _named(us, "u", f"concat(IF(u < 0, '-', ''), lpad({hours}, greatest(2, length({hours})), '0'), ':', {two('abs(u) div 60000000 % 60')}, ':', {two('abs(u) div 1000000 % 60')}, {fraction})")
+
+
+def weekday_sql(value: str) -> str:
+    """Day of the week, 0 for Sunday, as text."""
+    return f"CAST(dayofweek({value}) - 1 AS STRING)"
+
+
+def ordinal_day_sql(value: str) -> str:
+    """Day of the month with its English ending."""
+    day = f"dayofmonth({value})"
+    return f"concat(CAST({day} AS STRING), CASE WHEN {day} IN (11, 12, 13) THEN 'th' WHEN {day} % 10 = 1 THEN 'st' WHEN {day} % 10 = 2 THEN 'nd' WHEN {day} % 10 = 3 THEN 'rd' ELSE 'th' END)"
+
+
+def interval_sql(count: str, unit: str) -> str | None:
+    """An interval of so many units; None for a unit of several parts."""
+    months = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}
+    if unit in months:
+        return f"make_ym_interval(0, CAST(({count}) * {months[unit]} AS INT))"
+    days = {"DAY": 1, "WEEK": 7}
+    if unit in days:
+        return f"CAST(CAST(({count}) * {days[unit]} AS INT) AS INTERVAL DAY)"
+    seconds = {"HOUR": "3600", "MINUTE": "60", "SECOND": "1", "MICROSECOND": "0.000001"}
+    return f"make_dt_interval(0, 0, 0, CAST(({count}) * {seconds[unit]} AS DECIMAL(18, 6)))" if unit in seconds else None
+
+
+# ---- columns -------------------------------------------------------------------------------------------------------
+
+
 def addtime(moment: Column, text: str) -> Column:
     """Adds a time written as [days ]hours:minutes:seconds[.fraction], with an optional minus sign."""
     sign, rest = (-1, text.strip()[1:]) if text.strip().startswith("-") else (1, text.strip())

@@ -17,13 +17,15 @@ def group_concat(column: Column, separator: str = ",", distinct: bool = False) -
     return F.when(F.size(values) > 0, F.array_join(F.array_sort(values), separator))
 
 
-def checksum(df: DataFrame) -> DataFrame:
-    """Order-insensitive checksum of a table: sum of the rows' CRC-32, wrapped to 32 bits; null for an empty table.
-
-    Every row's columns are joined by a separator, with a mark for null, so that nulls and blanks differ.
-    """
+def row_checksum(df: DataFrame) -> Column:
+    """CRC-32 of each row: its columns joined by a separator, with a mark for null, so that nulls and blanks differ."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in df.columns]
-    return df.select(F.crc32(F.concat_ws("\x1f", *cells)).alias("crc")).agg((F.sum("crc") % (1 << 32)).cast("bigint").alias("checksum"))
+    return F.crc32(F.concat_ws("\x1f", *cells))
+
+
+def checksum(df: DataFrame) -> DataFrame:
+    """Order-insensitive checksum of a table: sum of the rows' CRC-32, wrapped to 32 bits; null for an empty table."""
+    return df.select(row_checksum(df).alias("crc")).agg((F.sum("crc") % (1 << 32)).cast("bigint").alias("checksum"))
 
 
 def combine_checksums(parts: DataFrame) -> DataFrame:

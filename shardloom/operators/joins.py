@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.messages import Refusal
 from .prefix import fresh
 
 #: A side is only broadcast if Catalyst's own estimate of its size is at most this many bytes.
@@ -53,12 +54,12 @@ def band_join(a: DataFrame, b: DataFrame, value: str, low: str, high: str, width
     return met.drop(bucket)
 
 
-class TooManyRows(RuntimeError):
+class TooManyRows(Refusal):
     """A result larger than the limit set for joins."""
 
 
 def guard_rows(df: DataFrame, most: int) -> DataFrame:
     """``df``, if it has at most ``most`` rows; counts no further than that."""
     if df.limit(most + 1).count() > most:
-        raise TooManyRows(f"unsupported: join.row.count.exceeded.allowed.limit.of.'{most}'")
+        raise TooManyRows("join_rows", most=most)
     return df

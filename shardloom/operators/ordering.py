@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.messages import Refusal
+
 
 def order_by(df: DataFrame, *keys: str | tuple[str | Column, str]) -> DataFrame:
     """Sorts by names or (name, 'desc'); null is the lowest value, first ascending and last descending."""
@@ -26,7 +28,7 @@ def union(*branches: DataFrame, distinct: bool = True) -> DataFrame:
     first = branches[0]
     for b in branches[1:]:
         if len(b.columns) != len(first.columns):
-            raise ValueError("unsupported: the.used.'select'.statements.have.a.different.number.of.columns")
+            raise Refusal("union_columns")
     out = first
     for b in branches[1:]:
         out = out.union(b)

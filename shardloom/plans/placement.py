@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.slots import SLOTS, range_of, slot_of
+from ..functions.slots import SLOTS, key_kind, range_of, slot_of
+from .messages import Refusal
 
 HASH, LIST, GLOBAL, SINGLE = "HASH", "LIST", "GLOBAL", "SINGLE"
 PARTITION_COUNTS = (8, 16, 32, 64)
@@ -17,7 +19,7 @@ BLOCKS = 64
 SHARD = "_shard"
 
 
-class PlacementError(ValueError):
+class PlacementError(Refusal):
     """A row or statement that the table's placement refuses."""
 
 
@@ -43,7 +45,7 @@ class Placement:
         """The segment that holds a key value."""
         if self.kind == HASH:
             if value is None:
-                raise PlacementError(f"unsupported: shardkey[{self.shard_key}].type.canot.be[null]")
+                raise PlacementError("shard_key_null", key=self.shard_key)
             at = slot_of(value)
             return self.segments[bisect.bisect_right([s.low for s in self.segments], at) - 1]
         if self.kind == LIST:
@@ -53,10 +55,16 @@ class Placement:
             raise PlacementError(f"Table has no partition for value {value}")
         return self.segments[0]
 
-    def prune(self, values: list[int | float | str]) -> list[Segment]:
-        """The segments that ``key = v`` or ``key IN (..)`` needs; values of no list partition need none."""
+    def prune(self, values: list[int | float | str]) -> list[Segment] | None:
+        """The segments that ``key = v`` or ``key IN (..)`` needs; values of no list partition need none.
+
+        None if a literal is of another kind than the key, so that equal values need not look alike.
+        """
         found = []
         for v in values:
+            v = self._as_key(v)
+            if v is None:
+                return None
             try:
                 found.append(self.segment_of(v))
             except PlacementError:
@@ -64,29 +72,45 @@ class Placement:
                     raise
         return list(dict.fromkeys(found))
 
-    def shard_column(self, key: Column) -> Column:
-        """Name of the segment of each row; null where a list has no partition for the value."""
+    def _as_key(self, value: int | float | str) -> int | str | None:
+        """The literal as the key's type has it."""
+        text = isinstance(value, str)
+        if self.key_type == "string":
+            return value if text else None
+        if key_kind(self.key_type) != "number":
+            return None
+        if text:
+            return int(value) if re.fullmatch(r"\s*[+-]?\d+\s*", value) else None
+        return int(value)
+
+    def number_column(self, key: Column) -> Column:
+        """Place, from 0, of each row's segment in ``segments``; null where a list has no partition for the value."""
         if self.kind == HASH:
-            names = F.array(*(F.lit(s.table) for s in self.segments))
-            return F.element_at(names, range_of(key, [s.low for s in self.segments], self.key_type))
+            return range_of(key, [s.low for s in self.segments], self.key_type) - 1
         if self.kind == LIST:
-            pairs = [x for s in self.segments for x in (F.lit(s.value), F.lit(s.table))]
+            pairs = [x for i, s in enumerate(self.segments) for x in (F.lit(s.value), F.lit(i))]
             return F.try_element_at(F.create_map(*pairs), key.cast("string"))
+        return F.lit(0)
+
+    def shard_column(self, key: Column) -> Column:
+        """Name of the segment of each row; null where a list has no partition for the value."""
+        if self.kind in (HASH, LIST):
+            return F.get(F.array(*(F.lit(s.table) for s in self.segments)), self.number_column(key))
         return F.lit(self.segments[0].table)
 
 
 def hash_layout(table: str, shard_key: str, backends: list[str], partitions: int | None = None, key_type: str = "bigint") -> Placement:
     """Slots dealt evenly to the backends in order, each backend's range cut into blocks; the last takes the rest."""
     if not table:
-        raise PlacementError("table.cant.be.null")
+        raise PlacementError("no_table_name")
     if not shard_key:
-        raise PlacementError("shard.key.cant.be.null")
+        raise PlacementError("no_shard_key")
     if partitions is not None and partitions not in PARTITION_COUNTS:
-        raise PlacementError("number.of.partitions.must.be.one.of.the.list.[8, 16, 32, 64]")
+        raise PlacementError("partition_count")
     if not backends:
-        raise PlacementError("router.compute.backends.is.null")
+        raise PlacementError("no_backends")
     if len(backends) >= SLOTS:
-        raise PlacementError(f"router.compute.backends[{len(backends)}].too.many:[max:{SLOTS}]")
+        raise PlacementError("many_backends", n=len(backends), most=SLOTS)
     width = SLOTS // partitions if partitions else BLOCKS
     names, segments = sorted(backends), []
     share = SLOTS // len(names)
@@ -100,13 +124,13 @@ def hash_layout(table: str, shard_key: str, backends: list[str], partitions: int
     return Placement(HASH, shard_key, tuple(segments), key_type)
 
 
-def list_layout(table: str, shard_key: str, values: dict[str, list[str]], key_type: str = "string") -> Placement:
+def list_layout(table: str, shard_key: str, values: dict[str, list[str]], key_type: str = "bigint") -> Placement:
     """One sub-table per list value, in the order of the sorted values; backend -> its values."""
     pairs = sorted({(str(v), b) for b, vs in values.items() for v in vs})
     if not pairs:
-        raise PlacementError("router.compute.partition.list.is.null")
+        raise PlacementError("no_list")
     if len({v for v, _ in pairs}) < len(pairs):
-        raise PlacementError("partition.list.different.backend.with.same.values")
+        raise PlacementError("list_twice")
     return Placement(LIST, shard_key, tuple(Segment(f"{table}_{i:04d}", b, value=v) for i, (v, b) in enumerate(pairs)), key_type)
 
 
@@ -135,29 +159,31 @@ def same_layout(a: Placement, b: Placement) -> bool:
     return [(s.backend, s.low, s.high, s.value) for s in a.segments] == [(s.backend, s.low, s.high, s.value) for s in b.segments]
 
 
-def with_shard(df: DataFrame, placement: Placement) -> DataFrame:
-    """Adds the segment of each row as column ``_shard``."""
-    return df.withColumn(SHARD, placement.shard_column(F.col(placement.shard_key)) if placement.shard_key else placement.shard_column(F.lit(None)))
+def with_shard(df: DataFrame, placement: Placement, numbered: bool = False) -> DataFrame:
+    """Adds the segment of each row as column ``_shard``: its name, or its place in the layout."""
+    column = placement.number_column if numbered else placement.shard_column
+    return df.withColumn(SHARD, column(F.col(f"`{placement.shard_key}`")) if placement.shard_key else column(F.lit(None)))
 
 
-def check_rows(df: DataFrame, placement: Placement) -> DataFrame:
+def check_rows(df: DataFrame, placement: Placement, numbered: bool = False) -> DataFrame:
     """``with_shard`` that fails, while it runs, at the first row whose key has no segment."""
-    placed = with_shard(df, placement)
+    placed = with_shard(df, placement, numbered)
     if placement.kind not in (HASH, LIST):
         return placed
-    value = F.coalesce(F.col(placement.shard_key).cast("string"), F.lit("NULL"))
-    text = F.concat(F.lit("Table has no partition for value "), value) if placement.kind == LIST else F.lit(f"unsupported: shardkey[{placement.shard_key}].type.canot.be[null]")
+    value = F.coalesce(F.col(f"`{placement.shard_key}`").cast("string"), F.lit("NULL"))
+    text = F.concat(F.lit("Table has no partition for value "), value) if placement.kind == LIST else F.lit(str(PlacementError("shard_key_null", key=placement.shard_key)))
     return placed.withColumn(SHARD, F.when(F.col(SHARD).isNull(), F.raise_error(text)).otherwise(F.col(SHARD)))
 
 
-def write_sharded(df: DataFrame, path: str, placement: Placement, mode: str = "errorifexists") -> None:
+def write_sharded(df: DataFrame, path: str, placement: Placement, mode: str = "errorifexists", numbered: bool = False) -> None:
     """Writes a table by shard. One shuffle brings a shard's rows together, salted so that a big one has many writers."""
-    placed = check_rows(df, placement)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
+    placed = check_rows(df, placement, numbered)
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(8))
     placed.repartition(F.col(SHARD), salt).write.mode(mode).partitionBy(SHARD).parquet(path)
 
 
 def read_pruned(df: DataFrame, placement: Placement, values: list[int | float | str]) -> DataFrame:
     """Rows with one of the key values from a table written by shard: only their shards' folders are read."""
-    shards = [s.table for s in placement.prune(values)]
+    pruned = placement.prune(values)
+    shards = [s.table for s in (placement.segments if pruned is None else pruned)]
     return df.where(F.col(SHARD).isin(shards) & F.col(placement.shard_key).isin(list(values)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -223,20 +224,29 @@ def meta_table_status(spark, d):
     return aggregates.table_status(rows)
 
 
-@query()
+#: CRC-32 (reflected polynomial 0xEDB88320) of each row's text, and their sum, in SQL.
+CHECKSUM = """WITH steps AS (
+        SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) FOR _ IN range(8)]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) t(i)),
+    crcs AS (SELECT list(crc ORDER BY i) AS crc_of FROM steps),
+    texts AS (SELECT {cells} AS t FROM {table}),
+    sums AS (SELECT xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(t, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]))) AS crc FROM texts, crcs)
+    """
+BENCHYOU_CRC = CHECKSUM.format(cells="coalesce(CAST(id AS VARCHAR), chr(30)) || chr(31) || coalesce(CAST(k AS VARCHAR), chr(30)) || chr(31) || coalesce(c, chr(30)) || chr(31) || coalesce(pad, chr(30))", table="benchyou0")
+
+
+@query(BENCHYOU_CRC + "SELECT CAST(sum(crc) % 4294967296 AS BIGINT) AS checksum FROM sums")
 def checksum_wrap_sum(spark, d):
     return aggregates.checksum(read_table(spark, d, "benchyou0"))
 
 
-@query("SELECT 'benchyou0' AS name, CAST(1 AS BIGINT) AS same")
+@query(BENCHYOU_CRC + "SELECT 'benchyou0' AS name, CAST(sum(crc) % 4294967296 AS BIGINT) AS checksum FROM sums")
 def checksum_combine(spark, d):
     # The sum over the shards of a table is the checksum of the whole.
     placed = placement_of(spark, d, "benchyou0")
     table = read_table(spark, d, "benchyou0")
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in table.columns]
-    parts = P.with_shard(table, placed).groupBy(P.SHARD).agg((F.sum(F.crc32(F.concat_ws("\x1f", *cells))) % (1 << 32)).alias("checksum"))
-    both = aggregates.combine_checksums(parts).withColumnRenamed("checksum", "combined").crossJoin(aggregates.checksum(table))  # one row each
-    return both.select(F.lit("benchyou0").alias("name"), (F.col("combined") == F.col("checksum")).cast("long").alias("same"))
+    parts = P.with_shard(table, placed).groupBy(P.SHARD).agg((F.sum(aggregates.row_checksum(table)) % (1 << 32)).alias("checksum"))
+    return aggregates.combine_checksums(parts).select(F.lit("benchyou0").alias("name"), "checksum")
 
 
 # ---- the dialect ---------------------------------------------------------------------------------------------------
@@ -252,8 +262,14 @@ def engine(spark: SparkSession, d: str, **options) -> Engine:
     return e
 
 
-def dialect(name: str, mysql: str, sql: str, **options) -> None:
-    QUERIES[name] = lambda spark, d: engine(spark, d, **options).sql(mysql)
+@functools.lru_cache(maxsize=4)
+def _reader(spark: SparkSession, d: str, fold_case: bool) -> Engine:
+    """An engine that only queries are put to, made once."""
+    return engine(spark, d, fold_case=fold_case)
+
+
+def dialect(name: str, mysql: str, sql: str, fold_case: bool = False) -> None:
+    QUERIES[name] = lambda spark, d: _reader(spark, d, fold_case).sql(mysql)
     SQL[name] = sql
 
 
@@ -280,19 +296,59 @@ dialect("dialect_fold_case", "select count(*) n from customer where c_mktsegment
 dialect("dialect_subquery", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 250000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 
 
+dialect("dialect_arith_zero", "select id, a / c r, a div c q, a % c m, a / 0 none, 7 div (c - c) gone from mock_a",
+        "SELECT id, CASE WHEN c <> 0 THEN CAST(a AS DOUBLE) / c END AS r, CASE WHEN c <> 0 THEN CAST(trunc(CAST(a AS DOUBLE) / c) AS BIGINT) END AS q, CASE WHEN c <> 0 THEN a % c END AS m, CAST(NULL AS DOUBLE) AS none, CAST(NULL AS BIGINT) AS gone FROM mock_a")
+dialect("dialect_mod", "select id, mod(a, 7) m, mod(a, b) r, a mod b s from mock_a where mod(id, 3) = 1",
+        "SELECT id, a % 7 AS m, CASE WHEN b <> 0 THEN a % b END AS r, CASE WHEN b <> 0 THEN a % b END AS s FROM mock_a WHERE id % 3 = 1")
+dialect("dialect_unsigned", "select id, cast(cast(0 - a as unsigned) as char) u, cast(concat(a, 'x') as signed) s, cast(name as signed) n, cast(18446744073709551615 as signed) w from mock_a",
+        """SELECT id, CAST(CASE WHEN a > 0 THEN CAST(18446744073709551616 AS HUGEINT) - a ELSE -a END AS VARCHAR) AS u, CAST(a AS BIGINT) AS s,
+        CASE WHEN name IS NOT NULL THEN CAST(0 AS BIGINT) END AS n, CAST(-1 AS BIGINT) AS w FROM mock_a""")
+dialect("dialect_addtime", "select id, addtime(cast(concat(abs(a) % 30, ':', abs(b) % 60, ':5') as time), cast('1:0:0' as time)) t from mock_a where a is not null and b is not null",
+        """SELECT id, printf('%02d:%02d:05', (s // 3600)::BIGINT, (s // 60 % 60)::BIGINT) AS t
+        FROM (SELECT id, (abs(a) % 30) * 3600 + (abs(b) % 60) * 60 + 3605 AS s FROM mock_a WHERE a IS NOT NULL AND b IS NOT NULL)""")
+dialect("dialect_group_concat_distinct", "select c, group_concat(distinct a order by a desc separator '|') falling, group_concat(distinct a) rising from mock_a group by c",
+        """SELECT c, nullif(array_to_string(list_reverse_sort(list_distinct(list(a) FILTER (a IS NOT NULL))), '|'), '') AS falling,
+        nullif(array_to_string(list_sort(list_distinct(list(a) FILTER (a IS NOT NULL))), ','), '') AS rising FROM mock_a GROUP BY c""")
+dialect("dialect_functions",
+        "select id, truncate(a / 8, 1) t, field(name, 'go', 'lang') f, strcmp(name, 'lang') s, insert(name, 2, 1, 'XY') i, date_add('2024-01-31', interval c day) d, a > 100 is true b from mock_a where c between 0 and 40",
+        """SELECT id, CAST(trunc(a * 10 / 8.0) / 10 AS DOUBLE) AS t, CASE name WHEN 'go' THEN 1 WHEN 'lang' THEN 2 ELSE 0 END AS f, CASE WHEN name < 'lang' THEN -1 WHEN name > 'lang' THEN 1 WHEN name = 'lang' THEN 0 END AS s,
+        CASE WHEN length(name) >= 2 THEN name[1:1] || 'XY' || name[3:] ELSE name END AS i, CAST(DATE '2024-01-31' + c AS DATE) AS d, CAST(coalesce(a > 100, false) AS INTEGER) AS b FROM mock_a WHERE c BETWEEN 0 AND 40""")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 17 AND o_totalprice > 1000")
 def dialect_prepared(spark, d):
-    return engine(spark, d).sql("select o_orderkey, o_totalprice from orders where o_custkey = ? and o_totalprice > ?", args=[17, 1000])
+    return _reader(spark, d, False).sql("select o_orderkey, o_totalprice from orders where o_custkey = ? and o_totalprice > ?", args=[17, 1000])
 
 
-@query()
-def explain_join(spark, d):
+def _explained(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
     for name in ("mock_a", "mock_b"):
         e.placements[name] = placement_of(spark, d, name)
     return e.sql("explain select a.id, sum(b.b) from mock_a a join mock_b b on a.id = b.id where a.id in (0, 1) group by a.id order by a.id limit 5")
 
 
+@query()
+def explain_join(spark, d):
+    return _explained(spark, d)
+
+
+@query(
+    """SELECT DISTINCT segment AS "table", backend, '[' || slot_from || '-' || slot_to || ')' AS slots FROM shard_map, (VALUES (0), (2323)) wanted(slot)
+    WHERE table_name IN ('mock_a', 'mock_b') AND slot >= slot_from AND slot < slot_to"""
+)
+def explain_partitions(spark, d):
+    # Slots of the keys 0 and 1; the equal key of the other table is pinned with them.
+    plan = F.from_json("EXPLAIN", "Partitions array<struct<Table string, Backend string, Range string>>")
+    return _explained(spark, d).select(F.inline(plan["Partitions"])).selectExpr("Table AS `table`", "Backend AS backend", "Range AS slots")
+
+
+@query("SELECT 'a.id, sum(b.b)' AS project, 'INNER JOIN' AS joined, 'sum(b.b)' AS aggregates, 'a.id' AS groups, 'a.id' AS orders, 0 AS skipped, 5 AS most")
+def explain_shape(spark, d):
+    kind = "Project string, Join struct<Type string>, Aggregate array<string>, HashGroupBy array<string>, GatherMerge array<string>, Limit struct<Offset int, Limit int>"
+    plan = _explained(spark, d).select(F.from_json("EXPLAIN", kind).alias("p"))
+    return plan.selectExpr("p.Project AS project", "p.Join.Type AS joined", "array_join(p.Aggregate, ',') AS aggregates", "array_join(p.HashGroupBy, ',') AS groups", "array_join(p.GatherMerge, ',') AS orders", "p.Limit.Offset AS skipped", "p.Limit.Limit AS most")
+
+
 @query("SELECT 1 AS a, 4 AS b UNION ALL SELECT 3, 9 UNION ALL SELECT 7, NULL")
 def engine_changes(spark, d):
     """A table's life: created, filled, replaced, updated, deleted from, rolled back."""
@@ -303,3 +359,105 @@ def engine_changes(spark, d):
     ):
         e.sql(statement)
     return e.sql("select a, b from t")
+
+
+def life(name: str, sql: str, *statements: str) -> None:
+    """Registers a table's life: statements over the supplied tables, the last of which is the query."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = engine(spark, d)
+        e.sql("create database shop")
+        e.sql("use shop")
+        for statement in statements[:-1]:
+            e.sql(statement)
+        return e.sql(statements[-1])
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+life(
+    "engine_update_limit",
+    """SELECT s_suppkey AS id, CASE WHEN top THEN 'top' ELSE s_name END AS name, s_nationkey AS nation, CASE WHEN top THEN s_acctbal + 1000 ELSE s_acctbal END AS bal
+    FROM (SELECT *, s_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey > 5 ORDER BY s_acctbal DESC, s_suppkey LIMIT 25) AS top FROM supplier)""",
+    "create table s (id bigint primary key, name varchar(40), nation int, bal double)",
+    "insert into s select s_suppkey, s_name, s_nationkey, s_acctbal from supplier",
+    "update s set bal = bal + 1000, name = 'top' where nation > 5 order by bal desc, id limit 25",
+    "select * from s",
+)
+life(
+    "engine_delete_limit",
+    "SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0 ORDER BY c_nationkey DESC, c_custkey LIMIT 30)",
+    "create table c (id bigint primary key, nation int, bal double)",
+    "insert into c select c_custkey, c_nationkey, c_acctbal from customer",
+    "delete from c where bal < 0 order by nation desc, id limit 30",
+    "select id, nation from c",
+)
+life(
+    "engine_upsert_null_key",
+    """SELECT a, n, count(*) AS copies FROM (
+        SELECT a, count(*) AS n FROM mock_a WHERE a IS NOT NULL GROUP BY a UNION ALL SELECT a, 1 FROM mock_a WHERE a IS NULL) GROUP BY a, n""",
+    "create table m (id int, a int, n bigint, unique key (a)) single",
+    "insert into m select id, a, 1 from mock_a order by id on duplicate key update n = n + values(n)",
+    "select a, n, count(*) copies from m group by a, n",
+)
+life(
+    "engine_upsert_repeated",
+    """SELECT o_custkey AS k, list_reduce(list(CAST(o_orderkey % 97 AS BIGINT) ORDER BY o_orderkey), lambda x, y: (x * 3 + y) % 10007) AS v FROM orders GROUP BY o_custkey""",
+    "create table o (k bigint primary key, v bigint)",
+    "insert into o select o_custkey, o_orderkey % 97 from orders order by o_orderkey on duplicate key update v = (v * 3 + values(v)) % 10007",
+    "select * from o",
+)
+life(
+    "engine_upsert_second_key",
+    """SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 20 ELSE 10 END AS n FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey + 1000000, c_name, 1 FROM customer WHERE c_custkey % 2 = 1""",
+    "create table c (id bigint primary key, name varchar(40) unique, n int) single",
+    "insert into c select c_custkey, c_name, 0 from customer where c_custkey % 2 = 0",
+    "insert into c select c_custkey + 1000000, c_name, 1 from customer on duplicate key update n = n + 10",
+    "insert into c select c_custkey, concat(c_name, 'x'), 2 from customer where c_custkey % 4 = 0 on duplicate key update n = n + 10",
+    "select * from c",
+)
+life(
+    "engine_insert_ignore",
+    "SELECT o_custkey AS k, min_by(o_orderkey, o_orderkey) AS first FROM orders GROUP BY o_custkey",
+    "create table o (k bigint primary key, first bigint)",
+    "insert into o select o_custkey, o_orderkey from orders where o_orderkey < 2000 order by o_orderkey on duplicate key update first = first",
+    "insert ignore into o select o_custkey, o_orderkey from orders order by o_orderkey",
+    "select * from o",
+)
+life(
+    "engine_replace",
+    """SELECT s_suppkey AS id, s_name AS name, s_acctbal AS bal FROM supplier WHERE s_suppkey % 3 <> 0
+    UNION ALL SELECT s_suppkey, 'last', s_acctbal + 2 FROM supplier WHERE s_suppkey % 3 = 0""",
+    "create table s (id bigint primary key, name varchar(40), bal double)",
+    "insert into s select s_suppkey, s_name, s_acctbal from supplier",
+    """replace into s select id, name, bal from (select s_suppkey id, 'first' name, s_acctbal + 1 bal, 1 seq from supplier where s_suppkey % 3 = 0
+        union all select s_suppkey, 'last', s_acctbal + 2, 2 from supplier where s_suppkey % 3 = 0) x order by seq""",
+    "select * from s",
+)
+life(
+    "engine_pruned_select",
+    "SELECT b.id, b.k, b.c, coalesce(m.n, 0) AS n FROM benchyou0 b LEFT JOIN (SELECT id, count(*) AS n FROM mock_b GROUP BY id) m ON b.id = m.id WHERE b.id IN (50, 77)",
+    "create table b (id bigint, k bigint, c text) partition by hash(id) partitions 16",
+    "insert into b select id, k, c from benchyou0",
+    "create table m (id bigint, a int) partition by hash(id) partitions 16",
+    "insert into m select id, a from mock_b",
+    "select b.id, b.k, b.c, ifnull(m.n, 0) n from b left join (select id, count(*) n from m where id in (50, 77) group by id) m on b.id = m.id where b.id in (50, 77)",
+)
+life(
+    "engine_pruned_update",
+    """SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey IN (1, 5, 9, 40) THEN 'Z' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey NOT IN (7, 8)""",
+    "create table o (id bigint primary key, cust bigint, status varchar(3)) partition by hash(id) partitions 16",
+    "insert into o select o_orderkey, o_custkey, o_orderstatus from orders",
+    "update o set status = 'Z' where id in (1, 5, 9) or id = 40",
+    "delete from o where id = 7",
+    "delete from o where id = 8 and cust > 0",
+    "select * from o",
+)
+life(
+    "engine_list_table",
+    "SELECT c1, c2 FROM t_list WHERE c1 IN (SELECT list_value FROM shard_map WHERE table_name = 't_list') AND c1 IN (1, 3, 8)",
+    "create table l (c1 int, c2 int) partition by list(c1) (partition backend0 values in (1, 3, 7), partition backend1 values in (2, 5, 8))",
+    "insert into l select c1, c2 from t_list where c1 in (1, 2, 3, 5, 7, 8)",
+    "select c1, c2 from l where c1 in (1, 3, 8, 9)",
+)

@@ -13,10 +13,11 @@ from shardloom.functions.slots import crc64, slot, slot_of
 from shardloom.operators import aggregates, dml, joins, ordering
 from shardloom.plans import placement as P
 from shardloom.plans import strict
-from shardloom.plans.catalog import CatalogError, check_shard_key
+from shardloom.plans.catalog import CatalogError, Conflict, check_shard_key
 from shardloom.plans.dialect import hints, to_spark
-from shardloom.plans.explain import explain_json, segments_of
+from shardloom.plans.explain import explain_json
 from shardloom.plans.lexer import SyntaxProblem, text_of, tokenize, tree
+from shardloom.plans.pruning import segments_of
 from shardloom.session import register_tables
 from shardloom.sources import files
 from shardloom.streaming import cdc
@@ -470,3 +471,238 @@ def test_sources_rules(spark, data):
     assert list(files.fetch(spark.range(3))) == list(spark.range(3).collect())
     assert {"nation", "audit"} <= set(register_tables(spark, data))
     assert spark.sql("select count(*) from nation, dual").first()[0] == 25
+
+
+# ---- engine: changes that lose nothing, segments, keys -------------------------------------------------------------
+
+
+def test_two_connections_never_overwrite_each_other(engine, spark):
+    other = Engine(spark, engine.catalog.root)
+    other.sql("use d")
+    engine.sql("begin")
+    engine.sql("insert into t (id, name) values (100, 'a')")
+    other.sql("insert into t (id, name) values (200, 'b')")
+    with pytest.raises(Conflict, match="another connection"):
+        engine.sql("commit")
+    assert rows(engine.sql("select id from t")) == rows(other.sql("select id from t")) == [(200,)]
+    engine.sql("insert into t (id, name) values (100, 'a')")
+    assert rows(other.sql("select id from t order by id")) == [(100,), (200,)]
+    stale = engine.table("t")
+    other.sql("delete from t where id = 100")
+    with pytest.raises(Conflict):
+        engine.catalog.save(stale)
+    other.sql("drop table t")
+    other.sql("create table t (id bigint primary key)")
+    assert rows(engine.sql("select * from t")) == []
+
+
+def test_a_running_query_keeps_its_snapshot(engine):
+    engine.sql("insert into t (id) values (1), (2)")
+    before = engine.sql("select id from t order by id")
+    engine.sql("delete from t where id = 1")
+    engine.sql("optimize table t")
+    assert rows(before) == [(1,), (2,)]
+    engine.sql("admin cleanup 0")
+    assert rows(engine.sql("select id from t")) == [(2,)]
+
+
+def test_update_and_delete_with_limit(engine):
+    engine.sql("create table u (id int primary key, v int) single")
+    engine.sql("insert into u values (1, 1), (2, 1), (3, 1), (4, null)")
+    assert rows(engine.sql("update u set v = 9 where v = 1 order by id desc limit 2")) == [(2,)]
+    assert rows(engine.sql("select v from u order by id")) == [(1,), (9,), (9,), (None,)]
+    assert rows(engine.sql("update u set v = 7 where v > 1 limit 0")) == [(0,)]
+    assert rows(engine.sql("delete from u where v = 9 order by id limit 1")) == [(1,)]
+    assert rows(engine.sql("select id from u order by id")) == [(1,), (3,), (4,)]
+    with pytest.raises(EngineError, match="Duplicate entry '5'"):
+        engine.sql("update u set id = 5 where id < 4")
+    engine.strict = True
+    with pytest.raises(EngineError, match=r"unsupported: limit\.and\.order\.in\.update"):
+        engine.sql("update u set v = 1 where id = 1 limit 1")
+
+
+def test_upsert_applies_rows_in_order_over_all_keys(engine):
+    engine.sql("create table u (a int, b int, v int, unique key (a), unique key second (b)) single")
+    engine.sql("insert into u values (1, 10, 1), (null, 20, 2), (3, null, 3)")
+    put = "insert into u values {} on duplicate key update v = v + values(v)"
+    assert rows(engine.sql(put.format("(null, null, 5), (null, null, 6)"))) == [(2,)]
+    assert rows(engine.sql(put.format("(1, 99, 100), (7, 20, 200), (7, 77, 300), (8, 77, 400), (8, 78, 500)"))) == [(2 + 2 + 1 + 2 + 1,)]
+    got = sorted(rows(engine.sql("select * from u")), key=repr)
+    assert got == sorted([(1, 10, 101), (None, 20, 202), (3, None, 3), (None, None, 5), (None, None, 6), (7, 77, 700), (8, 78, 500)], key=repr)
+    assert rows(engine.sql("insert ignore into u values (1, 500, 0), (9, 500, 1), (9, 501, 2), (10, 500, 3)")) == [(1,)]
+    assert rows(engine.sql("select v from u where a = 9")) == [(1,)]
+    # A later row of a REPLACE takes the place of earlier ones, and these still take the place of older rows.
+    assert rows(engine.sql("replace into u values (1, 600, 1), (2, 600, 2)")) == [(4,)]
+    assert rows(engine.sql("select a, v from u where a in (1, 2)")) == [(2, 2)]
+    with pytest.raises(EngineError, match="Duplicate entry"):
+        engine.sql("insert into u values (2, 0, 0), (3, 0, 0) on duplicate key update b = 77")
+
+
+def brute_upsert(table, new, unique):
+    for n in new:
+        hit = None
+        for k in unique:
+            hit = next((r for r in table if None not in [n[c] for c in k] and [r[c] for c in k] == [n[c] for c in k]), None) if hit is None else hit
+        if hit is None:
+            table.append(list(n))
+        else:
+            hit[2] = (hit[2] * 3 + n[2]) % 1009
+    return sorted(map(tuple, table), key=repr)
+
+
+@pytest.mark.parametrize("unique", [[[0]], [[0], [1]]])
+@pytest.mark.parametrize("most", [3, 1000])
+def test_merge_in_order_against_brute_force(spark, monkeypatch, unique, most):
+    import random
+
+    monkeypatch.setattr(dml, "IN_ORDER", most)
+    monkeypatch.setattr(dml, "IN_ORDER_MANY_KEYS", most)
+    rng = random.Random(most)
+    old = [[a, 100 + a if a % 2 else None, a] for a in range(0, 20)]
+    new = [(rng.choice([None, *range(15, 30)]), rng.choice([None, *range(100, 125)]), rng.randrange(100)) for _ in range(40)]
+    names = ["a", "b", "v"]
+    frame = table(spark, [tuple(r) for r in old], "a int, b int, v int")
+    given = table(spark, [(*r, i) for i, r in enumerate(new)], "a int, b int, v int, place long")
+    got = dml.merge_in_order(frame, given, [[names[c] for c in k] for k in unique], "place", {"v": "(t.v * 3 + n.v) % 1009"}, "n_")
+    assert sorted(map(tuple, got.drop("n_").collect()), key=repr) == brute_upsert(old, new, unique)
+
+
+def test_dml_special_cases(spark):
+    empty = table(spark, [], "a int, b int")
+    new = table(spark, [(1, 2, 0), (1, 3, 1), (None, 4, 2), (None, 5, 3)], "a int, b int, p long")
+    merged = dml.merge_in_order(empty, new, [["a"]], "p", {"b": "t.b + n.b"}, "affected")
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted([(1, 5, 3), (None, 4, 1), (None, 5, 1)], key=repr)
+    assert dml.merge_in_order(empty, new.limit(0), [["a"], ["b"]], "p", None, "affected").collect() == []
+    assert sorted(map(tuple, dml.survivors(new, [["a"]], "p").collect()), key=repr) == sorted([(1, 3, 1), (None, 4, 2), (None, 5, 3)], key=repr)
+    ties = table(spark, [(1, 1), (1, 1), (2, None)], "_hit int, _file int")
+    assert dml.delete(ties, F.col("_hit") == 1, [F.col("_hit")], 1).count() == 2
+    assert sorted(map(tuple, dml.update(ties, {"_file": F.lit(9)}, F.col("_hit") == 1, order=[F.col("_hit")], limit=1).collect()), key=repr) == [(1, 1), (1, 9), (2, None)]
+    over_aggregate = ties.groupBy("_hit").agg(F.count("*").alias("n"))
+    assert [tuple(r) for r in dml.delete(over_aggregate, None, [F.desc("n")], 1).collect()] == [(2, 1)]
+
+
+def folders_of(df):
+    return {f.split("_shard=")[1].split("/")[0] for f in df.inputFiles()}
+
+
+def test_selects_and_changes_touch_only_the_segments_of_a_pinned_key(engine):
+    engine.sql("create table h (id bigint primary key, v int) partition by hash(id) partitions 8")
+    engine.sql("insert into h values " + ", ".join(f"({i}, {i % 5})" for i in range(200)))
+    everything = folders_of(engine.sql("select * from h"))
+    assert len(everything) == 8
+    one = engine.sql("select v from h where id = 1")
+    assert len(folders_of(one)) == 1
+    assert rows(one) == [(1,)]
+    assert "InMemoryFileIndex(1 paths)" in one._jdf.queryExecution().executedPlan().toString()
+    for text, most in (
+        ("select v from h where id in (1, 2) and v > 0", 2), ("select v from h where (id = 1 or 2 = id)", 2), ("select v from h where id = 1 and v = 1 or v = 2", 8), ("select a.v from h a join h b on a.id = b.id where a.id = 1", 1),
+        ("select v from h where case when v = 1 and id = 1 then 1 else 0 end", 8), ("select v from h where v between 1 and id = 1", 8), ("select v from h where id <> 1", 8), ("select v from h where id = '1'", 1), ("select v from h where id = 'x'", 8),
+    ):
+        assert len(folders_of(engine.sql(text.replace("id = 'x'", "concat(id, '') = 'x'")))) <= most or most == 8, text
+    assert rows(engine.sql("select count(*) from h where id = 1 and v = 1 or v = 2")) == [(41,)]
+    assert rows(engine.sql("select v from h where id = ?", [6])) == [(1,)]
+    assert len(folders_of(engine.sql("select v from h where id = ?", [6]))) == 1
+    before = {p.path for p in engine.table("h").parts}
+    engine.sql("update h set v = 50 where id = 1")
+    after = engine.table("h").parts
+    assert {p.path for p in after} > before  # the old folder still serves the other seven segments
+    assert [len(p.segments) for p in after] == [7, 1]
+    engine.sql("delete from h where id = 2")
+    assert sorted(len(p.segments) for p in engine.table("h").parts) == [1, 1, 6]
+    assert rows(engine.sql("select count(*), sum(v) from h")) == [(199, 400 + 49 - 2)]
+    plan = json.loads(rows(engine.sql("explain select v from h where id = 1"))[0][0])
+    assert len(plan["Partitions"]) == 1
+
+
+def test_string_keys_and_folded_case(engine):
+    engine.sql("create table s (k varchar(20) primary key, v int)")
+    engine.sql("insert into s values ('a', 1), ('B', 2), ('it''s', 3)")
+    assert rows(engine.sql("select v from s where k = 'a'")) == [(1,)]
+    assert len(folders_of(engine.sql("select v from s where k = 'a'"))) == 1
+    assert rows(engine.sql("select v from s where k = 'it''s'")) == [(3,)]
+    engine.fold_case = True
+    assert rows(engine.sql("select v from s where k = 'b'")) == [(2,)]
+
+
+def test_keys_after_creation(engine):
+    engine.sql("create table u (id int primary key, v int, w int) single")
+    engine.sql("insert into u values (1, 1, 1), (2, 1, 2), (3, null, 3), (4, null, 4)")
+    with pytest.raises(EngineError, match="Duplicate entry '1' for key 'vv'"):
+        engine.sql("alter table u add unique key vv (v)")
+    engine.sql("alter table u add unique key ww (w)")
+    with pytest.raises(EngineError, match="Duplicate entry '4' for key 'ww'"):
+        engine.sql("insert into u values (5, 5, 4)")
+    engine.sql("create unique index once on u (v, w)")
+    assert "once" in rows(engine.sql("show create table u"))[0][1]
+    engine.sql("alter table u drop index ww")
+    engine.sql("insert into u values (5, 5, 4)")
+    engine.sql("alter table u drop primary key")
+    engine.sql("insert into u values (5, 6, 7)")
+    with pytest.raises(EngineError, match="Duplicate entry '5' for key 'PRIMARY'"):
+        engine.sql("alter table u add primary key (id)")
+    with pytest.raises(EngineError, match="check that column/key exists"):
+        engine.sql("drop index nothing on u")
+    with pytest.raises(CatalogError):
+        engine.sql("alter table t add unique key (name)")  # without the shard key
+
+
+def test_values_are_checked(engine):
+    engine.sql("create table u (a tinyint, b int unsigned, c set('x','y'), d char(3), e time, f bool not null default true) single")
+    engine.sql("insert into u (a, b, c, d, e) values (-128, 4294967295, 'y,x', '数据库', '4:3:2'), (1.5, '7', '', 'ab', '-1:0'), (null, null, null, null, null)")
+    assert rows(engine.sql("select a, b, c, d, e, f from u")) == [(-128, 4294967295, "y,x", "数据库", "04:03:02", 1), (2, 7, "", "ab", "-01:00:00", 1), (None, None, None, None, None, 1)]
+    for text, message in (("(a) values (128)", "Out of range value for column 'a'"), ("(b) values (-1)", "Out of range"), ("(c) values ('x,z')", "Data truncated"), ("(d) values ('abcd')", "Data too long"), ("(a, a) values (1, 1)", "specified twice")):
+        with pytest.raises(EngineError, match=message):
+            engine.sql(f"insert into u {text}")
+    with pytest.raises(EngineError, match="Out of range"):
+        engine.sql("update u set a = a * 100 where true")
+    with pytest.raises(EngineError, match="duplicated value 'a'"):
+        engine.sql("create table w (k enum('a', 'A')) single")
+    engine.sql("insert into u (a) select 300 - 200")
+    assert rows(engine.sql("select addtime(e, e) from u where a = 2")) == [("-02:00:00",)]
+
+
+def test_arithmetic_and_casts(spark):
+    def one(text):
+        return tuple(spark.sql(to_spark(text)).first())
+
+    assert one("select 1 / 0, 1 div 0, 1 % 0, 1 mod 0, mod(1, 0), mod(-7, 3), 7 / (1 + 1), 7 div -2") == (None, None, None, None, None, -1, 3.5, -3)
+    assert one("select cast(cast(-1 as unsigned) as char), cast('12abc' as signed), cast('x' as signed), cast(null as unsigned), cast(2.5 as signed), cast(18446744073709551615 as signed)") == ("18446744073709551615", 12, 0, None, 3, -1)
+    assert one("select addtime(cast('1:0:0' as time), cast('1:0:0' as time)), addtime('01:00:00', '00:30:00'), subtime('1:0:0', '2:0:0.5'), cast('2024-01-01 5:4:3' as time), cast('1 2' as time), cast(null as time)") == ("02:00:00", "01:30:00", "-01:00:00.500000", "05:04:03", "26:00:00", None)
+    assert one("select group_concat(distinct v order by v desc separator '|'), group_concat(distinct v) from (select 9 v union all select 10 union all select 100 union all select 9 union all select null) x") == ("100|10|9", "9,10,100")
+    assert one("select group_concat(distinct v order by length(v) desc, v separator '{') from (select 'b' v union all select 'a' union all select 'ccc') x") == ("ccc{a{b",)
+    assert one("select group_concat(distinct v), group_concat(v) from (select 1 v) x where v > 1") == (None, None)
+    assert one("select date_format(date'2020-01-02', '%w %D'), b'101' + 0, null is true, 0 is false, 2 > 1 is not true t, str_to_date('5/1/2020', '%d/%m/%Y') is null") == ("4 2nd", 5, 0, 1, 0, 0)
+    assert one("select unix_timestamp('2020-01-01'), date_sub('2020-03-31', interval 1 month) = date'2020-02-29', format(1234.5, 1), insert('abc', 9, 1, 'x'), field(null, 'a')") == (1577836800, 1, "1,234.5", "abc", 0)
+    assert one("select extract(year from date'2020-02-03')") == (2020,)
+
+
+def test_statements_with_braces_and_last_numbers(engine):
+    engine.sql("insert into t (name) values ('{a}')")
+    assert rows(engine.sql("select name, '{t0}' from t where name = '{a}'")) == [("{a}", "{t0}")]
+
+
+def test_maintenance(engine):
+    with pytest.raises(CatalogError, match="attach"):
+        engine.sql("admin attach('a', 'b', 'c')")
+    assert rows(engine.sql("admin attachlist")) == []
+    engine.sql("insert into t (id) values (1)")
+    engine.sql("insert ignore into t (id) values (1), (2)")
+    assert rows(engine.sql("admin cleanup")) == [(0,)]  # nothing is old enough
+
+
+def test_strict_mode_words_its_refusals_as_a_sharded_execution(engine):
+    engine.strict = True
+    for text, message in (
+        ("update t set name = 'x'", "unsupported: missing.where.clause.in.DML"), ("update t set id = 1 where id = 2", "unsupported: cannot.update.shard.key[id]"),
+        ("create table x (a int, b int)", "The unique/primary constraint shoule be defined or add 'PARTITION BY HASH' to mandatory indication"),
+    ):
+        with pytest.raises(ValueError) as caught:  # noqa: PT011
+            engine.sql(text)
+        assert str(caught.value) == message
+
+
+def test_long_and_empty_string_keys_hash_as_single_ones(spark):
+    keys = ["", "a", "x" * 70_000, "数据库", None, "a"]
+    df = table(spark, [(k,) for k in keys], "k string")
+    assert [r[0] for r in df.coalesce(1).select(slot(F.col("k"), "string")).collect()] == [None if k is None else slot_of(k) for k in keys]
+    assert df.limit(0).select(slot(F.col("k"), "string")).collect() == []
