@@ -54,6 +54,18 @@ def band_join(a: DataFrame, b: DataFrame, value: str, low: str, high: str, width
     return met.drop(bucket)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """Writes a table cut into buckets by the hash of its keys, each sorted by them, and returns it read back.
+
+    Equal keys of tables with the same number of buckets lie in buckets of the same number. Joins and groupings by the
+    keys then need no shuffle, however often they are run; the one shuffle is here. ``name`` is the table's name in the
+    session, ``path`` a shared folder. Null keys have a bucket, too.
+    """
+    keyed = df.repartition(buckets, *keys)
+    keyed.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 class TooManyRows(Refusal):
     """A result larger than the limit set for joins."""
 

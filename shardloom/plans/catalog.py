@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lineage import remove
+from ..hadoop import names, path_of, put_new, read_text, remove, statuses, system_of
 from . import placement as P
 from .messages import Refusal
 
@@ -155,28 +155,15 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
+        self._fs = system_of(spark, self.root)
+        self._fs.mkdirs(path_of(spark, self.root))
         self._read_before: dict[tuple[str, str], Table] = {}
         self._known: set[str] = set()
 
     # ---- files -----------------------------------------------------------------------------------------------------
 
     def _names(self, folder: str) -> list[str]:
-        try:
-            return [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))]
-        except Py4JJavaError as problem:
-            if "FileNotFoundException" in str(problem.java_exception.getClass()):
-                return []
-            raise
-
-    def _read(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
-        try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
+        return names(self.spark, folder)
 
     def _db_folder(self, db: str) -> str:
         return f"{self.root}/{urllib.parse.quote(db, safe='')}"
@@ -191,19 +178,6 @@ class Catalog:
         """The highest version of a definition, 0 if there is none."""
         return max((int(n[:-5]) for n in self._names(self._definition(db, name)) if re.fullmatch(r"\d+\.json", n)), default=0)
 
-    def _rename_new(self, old: str, new: str) -> bool:
-        """Renames a file unless there is one of the new name; whether it did."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
-        no_options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            context.rename(self._path(old), self._path(new), no_options)
-        except Py4JJavaError as problem:
-            if "FileAlreadyExistsException" in str(problem.java_exception.getClass()):
-                return False
-            raise
-        return True
-
     # ---- definitions -----------------------------------------------------------------------------------------------
 
     def check_unchanged(self, table: Table) -> None:
@@ -215,7 +189,7 @@ class Catalog:
     def _load(self, db: str, name: str, version: int) -> Table:
         held = self._read_before.get((db, name))
         if held is None or held.version != version:
-            held = Table.from_json(self._read(f"{self._definition(db, name)}/{version:010d}.json"))
+            held = Table.from_json(read_text(self.spark, f"{self._definition(db, name)}/{version:010d}.json"))
             self._read_before[(db, name)] = held
         return held
 
@@ -226,19 +200,17 @@ class Catalog:
             self._read_before.pop((table.db, table.name), None)
             self.check_unchanged(table)
             table.version = new
-            draft = f"{folder}/.{uuid.uuid4().hex}"
-            out = self._fs.create(self._path(draft), True)
-            out.write(table.to_json().encode())
-            out.close()
-            made = self._rename_new(draft, f"{folder}/{new:010d}.json")
+            made = put_new(self.spark, f"{folder}/{new:010d}.json", table.to_json())
             if not made or self._latest(table.db, table.name) != new:
-                self._fs.delete(self._path(f"{folder}/{new:010d}.json" if made else draft), False)
+                # Others were faster, by one version or by several.
+                if made:
+                    remove(self.spark, f"{folder}/{new:010d}.json")
                 table.version = new - 1
                 self.check_unchanged(table)
         self._read_before[(table.db, table.name)] = table
         for n in self._names(folder):  # the version before stays for readers that have just listed it
             if re.fullmatch(r"\d+\.json", n) and int(n[:-5]) < new - 1:
-                self._fs.delete(self._path(f"{folder}/{n}"), False)
+                remove(self.spark, f"{folder}/{n}")
 
     def refresh(self) -> None:
         """Looks up which databases there are."""
@@ -264,7 +236,7 @@ class Catalog:
             if if_not_exists:
                 return
             raise CatalogError(f"Can't create database '{name}'; database exists (errno 1007) (sqlstate HY000)")
-        self._fs.mkdirs(self._path(self._db_folder(name)))
+        self._fs.mkdirs(path_of(self.spark, self._db_folder(name)))
         self.refresh()
 
     def drop_database(self, name: str, if_exists: bool = False) -> None:
@@ -375,7 +347,7 @@ class Catalog:
         for p in table.parts:
             for s in p.segments if p.segments is not None else [0]:
                 where = p.path if p.segments is None else f"{p.path}/{P.SHARD}={s}"
-                out[s] = out.get(s, 0) + self._fs.getContentSummary(self._path(where)).getLength()
+                out[s] = out.get(s, 0) + self._fs.getContentSummary(path_of(self.spark, where)).getLength()
         return out
 
     def clean_up(self, hours: float) -> int:
@@ -385,7 +357,7 @@ class Catalog:
             tables = self.tables(db).values()
             used = {p.path.rsplit("/", 1)[1] for t in tables for p in t.parts}
             for store in (n for n in self._names(self._db_folder(db)) if n.endswith(".rows")):
-                for f in self._fs.listStatus(self._path(f"{self._db_folder(db)}/{store}")):
+                for f in statuses(self.spark, f"{self._db_folder(db)}/{store}"):
                     if f.getPath().getName() not in used and f.getModificationTime() <= oldest:
                         self._fs.delete(f.getPath(), True)
                         gone += 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import mysql as M
+from ..lineage import scratch_path
 from ..operators import aggregates, joins, ordering
 from ..session import read_table
 
@@ -283,9 +284,14 @@ def join_global(t):
 
 @query("SELECT a.id, count(*) AS n FROM mock_a a JOIN mock_b b ON a.id = b.id GROUP BY a.id")
 def join_colocated(t):
-    # Both sides are partitioned by the shard key once; join and grouping by it need no further shuffle.
-    a, b = t("mock_a").repartition("id").alias("a"), t("mock_b").repartition("id").alias("b")
-    return a.join(b, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    # Both tables are written in buckets of the shard key; join and grouping by it then need no shuffle.
+    a, b = (_bucketed(t(name).select("id"), name) for name in ("mock_a", "mock_b"))
+    return a.hint("merge").join(b, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"bucketed-{name}")
+    return joins.write_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), ["id"], 8, path)
 
 
 @query("SELECT a.id, b.b FROM mock_a a JOIN mock_b b ON a.id = b.id WHERE a.id = 32")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shardloom.engine import Engine, EngineError
 from shardloom.functions import mysql as M
 from shardloom.functions.slots import crc64, slot, slot_of
+from shardloom.lineage import cut, release, scratch, scratch_path, shared_folder
 from shardloom.operators import aggregates, dml, joins, ordering
 from shardloom.plans import placement as P
 from shardloom.plans import strict
@@ -17,7 +18,7 @@ from shardloom.plans.catalog import CatalogError, Conflict, check_shard_key
 from shardloom.plans.dialect import hints, to_spark
 from shardloom.plans.explain import explain_json
 from shardloom.plans.lexer import SyntaxProblem, text_of, tokenize, tree
-from shardloom.plans.pruning import segments_of
+from shardloom.plans.pruning import literals, segments_of
 from shardloom.session import register_tables
 from shardloom.sources import files
 from shardloom.streaming import cdc
@@ -265,10 +266,14 @@ def test_guard_and_small(spark):
     assert "Broadcast" not in spark.range(5).join(joins.small(big), "id").hint("merge")._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_colocated_join_shuffles_once(spark):
-    a, b = (spark.range(1000).withColumn(c, F.col("id")).repartition(4, "id") for c in "xy")
-    plan = a.hint("merge").join(b, "id").groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
+def test_colocated_join_does_not_shuffle(spark, data):
+    from shardloom.queries import relational
+
+    plan = relational.QUERIES["join_colocated"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Exchange" not in plan
+    nulls = joins.write_bucketed(table(spark, [(None,), (1,), (1,)], "id int"), "with_nulls", ["id"], 4, scratch_path(spark, "bucketed"))
+    assert sorted(map(tuple, nulls.groupBy("id").count().collect()), key=repr) == [(1, 2), (None, 1)]
 
 
 def test_union_checks(spark):
@@ -596,9 +601,10 @@ def test_selects_and_changes_touch_only_the_segments_of_a_pinned_key(engine):
     assert "InMemoryFileIndex(1 paths)" in one._jdf.queryExecution().executedPlan().toString()
     for text, most in (
         ("select v from h where id in (1, 2) and v > 0", 2), ("select v from h where (id = 1 or 2 = id)", 2), ("select v from h where id = 1 and v = 1 or v = 2", 8), ("select a.v from h a join h b on a.id = b.id where a.id = 1", 1),
-        ("select v from h where case when v = 1 and id = 1 then 1 else 0 end", 8), ("select v from h where v between 1 and id = 1", 8), ("select v from h where id <> 1", 8), ("select v from h where id = '1'", 1), ("select v from h where id = 'x'", 8),
+        ("select v from h where case when v = 1 and id = 1 then 1 else 0 end", 8), ("select v from h where id <> 1", 8), ("select v from h where id = '1'", 1), ("select v from h where id = 'x'", 8),
     ):
         assert len(folders_of(engine.sql(text.replace("id = 'x'", "concat(id, '') = 'x'")))) <= most or most == 8, text
+    assert literals(tree(tokenize("v between 1 and id = 1")), "h", "id") is None
     assert rows(engine.sql("select count(*) from h where id = 1 and v = 1 or v = 2")) == [(41,)]
     assert rows(engine.sql("select v from h where id = ?", [6])) == [(1,)]
     assert len(folders_of(engine.sql("select v from h where id = ?", [6]))) == 1
@@ -706,3 +712,113 @@ def test_long_and_empty_string_keys_hash_as_single_ones(spark):
     df = table(spark, [(k,) for k in keys], "k string")
     assert [r[0] for r in df.coalesce(1).select(slot(F.col("k"), "string")).collect()] == [None if k is None else slot_of(k) for k in keys]
     assert df.limit(0).select(slot(F.col("k"), "string")).collect() == []
+
+
+# ---- intermediate data ---------------------------------------------------------------------------------------------
+
+
+def exists(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Context, {}  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
+def test_scratch_folders_are_deleted(spark, engine):
+    with scratch(spark):
+        inside = cut(spark.range(3), "inside").inputFiles()[0]
+        assert exists(spark, inside)
+    assert not exists(spark, inside)
+    engine.sql("insert into t (id) values (1), (2)")
+    own = spark.sparkContext._shardloom_scratch
+    before = [f.getPath().getName() for f in spark._jvm.org.apache.hadoop.fs.Path(own).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(own))]
+    engine.sql("replace into t (id, name) values (1, 'z')")
+    after = [f.getPath().getName() for f in spark._jvm.org.apache.hadoop.fs.Path(own).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(own))]
+    assert sorted(before) == sorted(after)
+    kept = cut(spark.range(3), "kept").inputFiles()[0]
+    release(spark)
+    assert not exists(spark, kept)
+    assert cut(spark.range(3), "again").count() == 3
+
+
+def test_scratch_goes_with_the_application(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(__import__('pathlib').Path(__file__).resolve().parent.parent)!r})
+from shardloom.session import create_session
+from shardloom.lineage import cut
+s = create_session("x", "local[1]", spark__ui__enabled="false", spark__driver__host="127.0.0.1", spark__checkpoint__dir="file://{tmp_path}/shared")
+cut(s.range(3), "mine").count()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+    import time
+
+    for _ in range(50):
+        left = [p.name for p in (tmp_path / "shared").glob("scratch-*")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert left == []
+
+
+# ---- change capture into buckets -----------------------------------------------------------------------------------
+
+LOG = "k int, v string, op string, seq int"
+
+
+def test_a_batch_rewrites_only_its_buckets_and_only_once(spark, tmp_path):
+    start = table(spark, [(i, "a") for i in range(100)], "k int, v string")
+    copy = cdc.BucketedCopy(spark, f"file://{tmp_path}/copy", start.schema, ["k"], 16)
+    copy.start(start)
+    first = copy._state()["folders"]
+    copy.apply(table(spark, [(3, "x", "update", 1), (200, "n", "insert", 1), (4, "a", "delete", 1)], LOG), 0)
+    second = copy._state()["folders"]
+    assert 1 <= sum(first.get(b) != p for b, p in second.items()) <= 3
+    assert copy.load().count() == 100
+    assert copy.load().where("k = 3 AND v = 'x'").count() == 1
+    copy.apply(table(spark, [(3, "again", "update", 1)], LOG), 0)  # the same batch once more
+    assert copy._state()["folders"] == second
+    copy.apply(table(spark, [], LOG), 1)
+    copy.start(start)
+    assert copy.load().count() == 100
+    empty = cdc.BucketedCopy(spark, f"file://{tmp_path}/empty", start.schema, ["k"], 16)
+    empty.start(start.limit(0))
+    assert empty.load().collect() == []
+    empty.apply(table(spark, [(1, "x", "insert", 1), (None, "y", "insert", 1)], LOG), 0)
+    empty.apply(table(spark, [(None, "z", "update", 1)], LOG), 1)
+    assert sorted(map(tuple, empty.load().collect()), key=repr) == [(1, "x"), (None, "z")]
+
+
+def test_a_migration_goes_on_where_it_stopped(spark, tmp_path):
+    source = table(spark, [(1, "a"), (2, "b")], "k int, v string")
+    table(spark, [(2, "x", "update", 1)], LOG).write.parquet(f"{tmp_path}/log/p0")
+    stream = spark.readStream.schema(LOG).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log")
+    half = cdc.apply_changes(source, table(spark, [(2, "x", "update", 1)], LOG), ["k"])
+    with pytest.raises(cdc.NotCaughtUp):
+        cdc.migrate(source, stream, lambda: source, f"{tmp_path}/to", ["k"], tries=1, wait_s=0)
+    table(spark, [(1, "a", "delete", 2)], LOG).write.parquet(f"{tmp_path}/log/p1")
+    whole = cdc.apply_changes(half, table(spark, [(1, "a", "delete", 2)], LOG), ["k"])
+    moved = cdc.migrate(source, stream, lambda: whole, f"{tmp_path}/to", ["k"], tries=1, wait_s=0)
+    assert [tuple(r) for r in moved.collect()] == [(2, "x")]
+
+
+def test_same_rows_tells_apart_what_moved_between_columns(spark):
+    a, b = table(spark, [(1, None)], "a int, b int"), table(spark, [(None, 1)], "a int, b int")
+    assert not cdc.same_rows(a, b)
+    assert cdc.same_rows(a, a)
+    assert cdc.same_rows(a, a.select("b", "a"))
