@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BUCKET_US = 3_600_000_000
 
 
-def sweep(df: DataFrame, entity: str, start_us: str, end_us: str, bucket_us: int = BUCKET_US) -> DataFrame:
+def sweep(df: DataFrame, entity: str, start_us: str, end_us: str, bucket_us: int = BUCKET_US, event_id: str | None = None) -> DataFrame:
     """Merges the intervals of each entity by a sweep line.
 
     ``start_us`` and ``end_us`` are integers (microseconds). Each interval becomes a plus event at its start and a
@@ -20,15 +20,24 @@ def sweep(df: DataFrame, entity: str, start_us: str, end_us: str, bucket_us: int
     Returns one row per period, (entity, from_us, to_us, n, next_us): ``n`` counts the intervals in it, ``next_us`` is
     the start of the entity's next period (null for the last), so the gap is ``[to_us, next_us]``.
 
-    Rows with a null entity, start or end, or ending before they start, are left out. Repeated rows count each.
+    An interval within one bucket of time is shuffled as one row, another as two, its ends; events are made of them
+    where they meet.
+
+    Rows with a null entity, start or end, or ending before they start, are left out. Repeated rows count each; with
+    ``event_id``, rows equal in it and in entity, start and end count once, and those with a null id are left out.
     An empty table gives no rows. Extra columns are ignored, whatever their names.
     """
-    rows = df.select(F.col(entity).alias("e"), F.col(start_us).cast("long").alias("s"), F.col(end_us).cast("long").alias("t"))
-    rows = rows.where("e IS NOT NULL AND s <= t")
-    events = rows.select("e", F.explode(F.expr("array(struct(s AS at, 1L AS plus, 0L AS minus), struct(t AS at, 0L AS plus, 1L AS minus))")).alias("v"))
-    events = events.select("e", F.floor(F.col("v.at") / bucket_us).alias("b"), "v.*")
-    # The filter holds anyway; where it stands, both readers of the partitioned events have it, and so share them.
-    events = events.where("b IS NOT NULL").repartition("e", "b")
+    rows = df.select(F.col(entity).alias("e"), F.col(start_us).cast("long").alias("s"), F.col(end_us).cast("long").alias("t"), *([F.col(event_id).alias("id")] if event_id else []))
+    rows = rows.where("e IS NOT NULL AND s <= t" + (" AND id IS NOT NULL" if event_id else ""))
+    first, last = (f"floor({c} / {bucket_us})" for c in ("s", "t"))
+    ends = F.expr(f"IF({first} = {last}, array(struct({first} AS b, s, t)), array(struct({first} AS b, s, CAST(NULL AS BIGINT) AS t), struct({last} AS b, CAST(NULL AS BIGINT) AS s, t)))")
+    held = rows.select("e", *(["id"] if event_id else []), F.explode(ends).alias("v")).select("e", *(["id"] if event_id else []), "v.*")
+    # The filter holds anyway; where it stands, both readers of the partitioned rows have it, and so share them.
+    held = held.where("b IS NOT NULL").repartition("e", "b")
+    if event_id:
+        held = held.dropDuplicates()  # in place: what is equal lies together
+    moments = F.expr("filter(array(struct(s AS at, 1L AS plus, 0L AS minus), struct(t AS at, 0L AS plus, 1L AS minus)), v -> v.at IS NOT NULL)")
+    events = held.select("e", "b", F.explode(moments).alias("v")).select("e", "b", "v.*")
     instants = events.groupBy("e", "b", "at").agg(F.sum("plus").alias("plus"), F.sum(F.expr("plus - minus")).alias("net"))
     # Within a bucket, counted from its beginning. What is open can only fall to 0 where this count is lowest.
     upto = Window.partitionBy("e", "b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,12 +80,12 @@ def _carried(rows: DataFrame) -> DataFrame:
     return carried.where("falls").select("e", "b", "seen_before", "periods_before")
 
 
-def periods_and_gaps(df: DataFrame, entity: str, start_us: str, end_us: str, min_count: int = 1, min_gap_us: int = 1, bucket_us: int = BUCKET_US) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, start_us: str, end_us: str, min_count: int = 1, min_gap_us: int = 1, bucket_us: int = BUCKET_US, event_id: str | None = None) -> DataFrame:
     """(entity, kind, from_us, to_us): 'busy' periods of ``min_count`` intervals or more, 'gap's of ``min_gap_us`` or more.
 
     Periods of fewer intervals are not listed, yet bound the gaps. Nulls, ties and empty tables: see :func:`sweep`.
     """
-    swept = sweep(df, entity, start_us, end_us, bucket_us)
+    swept = sweep(df, entity, start_us, end_us, bucket_us, event_id)
     kinds = F.expr(f"""filter(array(
         CASE WHEN n >= {int(min_count)} THEN named_struct('kind', 'busy', 'from_us', from_us, 'to_us', to_us) END,
         CASE WHEN next_us - to_us >= {int(min_gap_us)} THEN named_struct('kind', 'gap', 'from_us', to_us, 'to_us', next_us) END

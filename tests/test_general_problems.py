@@ -128,3 +128,11 @@ def test_trailing_totals_special_cases(spark):
     df = spark.createDataFrame([(None, "2024-01-01", 1), ("a", None, 2), ("a", "2024-01-05", None)], "u string, d string, v int")
     assert [(r["u"], str(r["day"]), r["sum_7"], r["n_7"]) for r in trailing_totals(df, "u", "d", "v").collect()] == [("a", "2024-01-05", 0, 1)]
     assert trailing_totals(df.limit(0), "u", "d", "v").collect() == []
+
+
+def test_sweep_counts_an_id_once(spark):
+    rows = [("a", 0, 10, 1), ("a", 0, 10, 1), ("a", 5, 90, 2), ("a", 5, 90, 2), ("a", 200, 210, None), (None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "u string, s long, t long, id long").withColumn("b", F.lit("x"))
+    for bucket in (7, 1000):
+        assert [tuple(r) for r in sweep(df, "u", "s", "t", bucket, "id").collect()] == [("a", 0, 90, 2, None)]
+    assert sweep(df.limit(0), "u", "s", "t", event_id="id").collect() == []
