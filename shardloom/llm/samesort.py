@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ def _keyed(batch: pa.RecordBatch, canonical: Callable[[str], str]) -> pa.RecordB
 def _place(h: np.ndarray, ids: np.ndarray, bound_h: np.ndarray, bound_id: np.ndarray) -> np.ndarray:
     """Number of bounds below (h, id), the bounds sorted by hash and id."""
     low, high = np.searchsorted(bound_h, h, "left"), np.searchsorted(bound_h, h, "right")
-    for i in np.flatnonzero(low < high):  # keys so hot that they fill ranges of their own
-        low[i] += np.searchsorted(bound_id[low[i] : high[i]], ids[i], "left")
+    for at in np.unique(low[low < high]):  # keys so hot that they fill ranges of their own, each all at once
+        rows = np.flatnonzero((low == at) & (high > at))
+        low[rows] += np.searchsorted(bound_id[at : high[rows[0]]], ids[rows], "left")
     return low
 
 
@@ -55,13 +57,24 @@ def _bounds(rows: DataFrame, canonical: Callable[[str], str], partitions: int) -
 _SCANNED = pa.schema([("kept", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("key", pa.string())])
 
 
-def _runs(batch: pa.RecordBatch, key: str | None) -> tuple[list[int], list[int], bool]:
-    """Starts and ends of the runs of equal full keys, and whether the first goes on from a run of ``key``."""
-    keys, n = batch.column("key"), batch.num_rows
-    fresh = np.ones(n, bool)
-    fresh[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(fresh)
-    return starts.tolist(), [*starts[1:].tolist(), n], key is not None and keys[0].as_py() == key
+def _some(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the scan's result; columns not given are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _SCANNED], schema=_SCANNED)
+
+
+@dataclass
+class _Run:
+    """A run that may go on in the next batch: its hash and key, first and last id, and number of ids."""
+
+    h: int
+    key: str
+    head: int
+    last: int
+    n: int
+
+    def row(self, shown: bool) -> pa.RecordBatch:
+        h = pa.array([int(self.h)]) if shown else pa.nulls(1, pa.int64())
+        return _some(1, kept=pa.array([int(self.head)]), n=pa.array([int(self.n)]), h=h, key=pa.array([self.key], pa.string()))
 
 
 def _scan(rows: DataFrame, pairs: bool, runs: bool) -> DataFrame:
@@ -73,33 +86,41 @@ def _scan(rows: DataFrame, pairs: bool, runs: bool) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        h = key = head = last = None
-        n, first = 0, True
+        run: _Run | None = None
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, hashes, keys = batch.column("id").to_pylist(), batch.column("h"), batch.column("key")
-            starts, ends, goes_on = _runs(batch, key)
-            for s, e in zip(starts, ends, strict=True):
-                if s or not goes_on:
-                    if key is not None:
-                        if runs or first:
-                            out.append((head, None, n, h if first else None, key))
-                        first = False
-                    h, key, head, last, n = hashes[s].as_py(), keys[s].as_py(), ids[s], None, 0
-                for i in ids[s:e]:
-                    if i != last:
-                        n += 1
-                        if pairs and n > 1:
-                            out.append((head, i, None, h if first else None, None))
-                        last = i
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SCANNED.types, strict=True)], schema=_SCANNED)
-                out = []
-        if key is not None:
-            out.append((head, None, n, h, key))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SCANNED.types, strict=True)], schema=_SCANNED)
+            keys, ids, hashes = batch.column("key"), batch.column("id").to_numpy(), batch.column("h").to_numpy()
+            starts = np.ones(len(ids), bool)
+            starts[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+            goes_on = run is not None and keys[0].as_py() == run.key
+            at = np.flatnonzero(starts)
+            new = np.ones(len(ids), bool)  # whether an id is another one than that of the row before in its run
+            new[1:] = starts[1:] | (ids[1:] != ids[:-1])
+            new[0] = not goes_on or ids[0] != run.last
+            number = np.cumsum(starts) - 1
+            heads, counts = ids[at].copy(), np.bincount(number[new], minlength=len(at))
+            if goes_on:
+                heads[0] = run.head
+                counts[0] += run.n
+            elif run is not None and (runs or first):
+                yield run.row(first)
+            first = first and (run is None or goes_on)  # whether the first run of the batch is that of the partition
+            if pairs:
+                mine = np.flatnonzero(new & (ids != heads[number]))
+                if len(mine):
+                    shown = pa.array(hashes[mine], mask=~(first & (number[mine] == 0)))
+                    yield _some(len(mine), kept=pa.array(heads[number[mine]]), copy=pa.array(ids[mine]), h=shown)
+            done = len(at) - 1  # runs that end within the batch
+            if done and (runs or first):
+                upto = done if runs else 1
+                shown = pa.array(hashes[at[:upto]], mask=np.array([not (first and k == 0) for k in range(upto)]))
+                yield _some(upto, kept=pa.array(heads[:upto]), n=pa.array(counts[:upto]), h=shown, key=keys.take(pa.array(at[:upto])))
+            first = first and not done
+            run = _Run(hashes[at[-1]], keys[int(at[-1])].as_py(), heads[-1], ids[-1], counts[-1])
+        if run is not None:
+            yield run.row(True)
 
     return rows.mapInArrow(scan, "kept bigint, copy bigint, n bigint, h bigint, key string")
 

@@ -111,6 +111,20 @@ SAME = [
     ("insert into t (a,b) values (1,2),(3,4)", "insert into t (b,a) values (2,1),(4,3)"),
     ("replace into t set a=1, b=2", "replace into t set b=2, a=1"),
     ("select a from t where x between 1 and 2 and y=3", "select a from t where y=3 and x between 1 and 2"),
+    ("SELECT DISTINCT a,b FROM t", "select distinct b, a from t"),
+    ("insert into t (a,b) values (1,2) on duplicate key update a=1, b=values(b)", "insert into t (b,a) values (2,1) ON DUPLICATE KEY UPDATE b = VALUES(b), a = 1"),
+    ("insert into t set a=1,b=2 on duplicate key update c=1,d=2", "insert into t set b=2,a=1 on duplicate key update d=2,c=1"),
+    ("select a from t where not (x=1 and y=2)", "select a from t where not (y = 2 and (x = 1))"),
+    ("select a from t where not (x=1) and y=2", "select a from t where y=2 and not x=1"),
+    ("select a from t where x in (select y from u where p=1 and q=2)", "select a from t where x in (select y from u where (q=2) and p=1)"),
+    ("select a from t where exists (select 1 from u where p=1 or (q=2 and r=3)) and b=1", "select a from t where b=1 and exists (select 1 from u where (r=3 and q=2) or p=1)"),
+    ("select a, count(*) from t group by a having count(*)>1 and a<>2 order by a", "select count(*), a from t group by a having a<>2 and (count(*)>1) order by a"),
+    ("select a.x from a join b on a.i=b.i and a.j=b.j where a.x=1 and b.y=2", "select a.x from a join b on (a.j=b.j) and a.i=b.i where b.y=2 and a.x=1"),
+    ("select a from t where x=1 xor y=2", "select a from t where y=2 xor x=1"),
+    ("select a from t where x=1 union select b from u where p=1 and q=2", "select a from t where (x=1) union select b from u where q=2 and p=1"),
+    ("select a from t where x=1e5 and y=0x1F", "select a from t where y=0x1f and x=1E5"),
+    ("insert into t (a,b) select c, d from u where e=1 and f=2", "insert into t (b,a) select d, c from u where f=2 and e=1"),
+    ("select a from (select b from t where x=1 and y=2) z where c=1", "select a from (select b from t where y=2 and x=1) z where (c=1)"),
 ]
 DIFFERENT = [
     ("select a from t where x=-1", "select a from t where x=1"), ("select a from t where x=1.5", "select a from t where x=15"),
@@ -120,6 +134,14 @@ DIFFERENT = [
     ("select a from t limit 5", "select a from t limit 50"), ("select a from t where x<5", "select a from t where x<=5"), ("delete from t", "select from t"),
     ("select a from t where x=1 and y=2", "select a from t where x=2 and y=1"), ("insert into t (a,b) values (1,2),(3,4)", "insert into t (a,b) values (3,4),(1,2)"),
     ("select a from t where x='5'", "select a from t where x=5"), ("select a from d.t", "select a from e.t"), ("", "select"),
+    ("select 1e5 from t", "select 1 e5 from t"), ("select 0x1f from t", "select 0 x1f from t"), ("select x'1f' from t", "select x '1f' from t"), ("select distinct a, b from t", "select a, b from t"),
+    ("select a from t where not (x=1 and y=2)", "select a from t where not x=1 and y=2"), ("select a from t where not (x=1 or y=2)", "select a from t where not (x=1 and y=2)"),
+    ("select a from t where (x,y) in (select p,q from u)", "select a from t where (x,y) in (select q,p from u)"), ("select a, b from t union select c, d from u", "select b, a from t union select c, d from u"),
+    ("select a from t where x=1 xor y=2 and z=3", "select a from t where (x=1 xor y=2) and z=3"), ("select a from t having b=1", "select a from t where b=1"),
+    ("select a from t where case when x=1 and z=3 and y=2 then 1 else 0 end = 1", "select a from t where case when x=1 and y=2 then 1 else 0 end = 1 and z=3"),
+    ("insert into t (a,b) values (1,2) on duplicate key update a=1,b=2", "insert into t (a,b) values (1,2) on duplicate key update a=2,b=1"),
+    ("insert into t (a,b) select c,d from u", "insert into t (a,b) select d,c from u"), ("select a from t join u on t.x=u.x where t.y=1", "select a from t join u on t.y=1 where t.x=u.x"),
+    ("select a from t group by a order by b", "select a from t group by b order by a"),
 ]
 
 
@@ -139,6 +161,23 @@ def test_canonical_takes_any_text():
         assert statements.canonical(statements.canonical(text) or "") is not None
 
 
+def test_the_short_way_gives_the_text_of_the_long_one(data):
+    import pyarrow.parquet as pq
+
+    texts = {t for t in pq.read_table(f"{data}/audit.parquet", columns=["argument"]).column(0).to_pylist() if t} | {t for pair in SAME + DIFFERENT for t in pair}
+    texts |= {"select", "select from where", "select a from t where", "update t set", "delete from t limit", "insert into t ( a ) values ( )", "insert into t(a) values(1) on", "update t set a=1 order by b limit 2", "select a from t for update"}
+    short = 0
+    for t in texts:
+        ts = statements.tokens(t)
+        form = statements._FORMS.get(ts[0]) if ts else None
+        joined = statements._GAP.join(ts)
+        quick = statements._short(joined, ts) if form else None
+        if quick is not None:
+            short += 1
+            assert quick == statements._long(form, ts, joined), t
+    assert short > 0.5 * len(texts)
+
+
 def truth_of(rows):
     groups = collections.defaultdict(set)
     for i, t in rows:
