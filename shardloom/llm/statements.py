@@ -324,7 +324,9 @@ def _insert_select(head: str, columns: list[str], ts: list[str]) -> str | None:
 #: What the short way does not take: brackets and words whose conditions may nest.
 _NESTING = _COMPOUND | {"on", "having", "union"}
 _WHERE, _FROM, _SET = (f"{_GAP}{w}{_GAP}" for w in ("where", "from", "set"))
-_CLOSING_MARKS = [f"{_GAP}{w}{_GAP}" for w in sorted(_CLOSING)]
+_PLAIN_CLOSING = _CLOSING - {"having"}
+_CLOSING_MARKS = {w: f"{_GAP}{w}{_GAP}" for w in _PLAIN_CLOSING}
+_NOTED = _NESTING | _CLOSING
 _OPEN, _CLOSE, _VALUES = f"{_GAP}({_GAP}", f"{_GAP}){_GAP}", f"values{_GAP}({_GAP}"
 
 
@@ -339,7 +341,8 @@ def _short(s: str, ts: list[str]) -> str | None:
             return None
         columns, values = s[opens + 3 : closes].split(_COMMA), s[closes + 3 + len(_VALUES) : -2].split(_COMMA)
         return f"{s[:opens]} pairs {_pairs(columns, values)}|" if len(columns) == len(values) else None
-    if ts[-1] in _MARKS or not _NESTING.isdisjoint(ts):
+    there = _NOTED.intersection(ts)
+    if not there <= _PLAIN_CLOSING or ts[-1] in _MARKS:
         return None
     if verb == "delete":
         begin = head = len(verb)
@@ -349,8 +352,8 @@ def _short(s: str, ts: list[str]) -> str | None:
         if begin < 0 or ts[1] in _PREFIXES:
             return None
     close = len(s)
-    for mark in _CLOSING_MARKS:
-        at = s.find(mark, begin, close + 1)
+    for word in there:
+        at = s.find(_CLOSING_MARKS[word], begin, close + 1)
         if at >= 0:
             close = at
     where = s.find(_WHERE, begin, close + 1)
