@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -18,8 +18,12 @@ LEAST_SLOTS = 8
 #: Rows whose running sum is taken in one task.
 ROWS_PER_BUCKET = 16384
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Sources the schedule can tell apart; they become cases of one expression.
+#: Sources the schedule can tell apart; what is known of each is sent to all tasks.
 MOST_SOURCES = 1000
+#: Parts of the unit interval by which a point finds its source.
+CELLS = 4096
+#: Different record sizes per source that are looked at together when the end of a quota is filled.
+SIZES = 1024
 
 
 @dataclass(frozen=True)
@@ -31,14 +35,6 @@ class Target:
     max_repeats: int
 
 
-def _choose(u: Column, bounds: list[tuple[str, float]]) -> Column:
-    """The source within whose cumulative share the point lies."""
-    chosen = F.lit(bounds[-1][0])
-    for source, upper in reversed(bounds[:-1]):
-        chosen = F.when(u < upper, F.lit(source)).otherwise(chosen)
-    return chosen
-
-
 def reachable_total(available: dict[str, int], targets: list[Target], mean: dict[str, float] | None = None) -> float:
     """The greatest total size at which no source must repeat more than it may.
 
@@ -51,17 +47,122 @@ def reachable_total(available: dict[str, int], targets: list[Target], mean: dict
     return next((n for n in limits if n >= least), 0.0)
 
 
+def _schedule(spark: SparkSession, used: list[Target], slots: int) -> DataFrame:
+    """(slot, source, rank): slot i goes to the source within whose cumulative share the point frac((i + 1) * golden ratio) lies."""
+    cells, upper = [], 0.0
+    for n, t in enumerate(used):
+        lower, upper = upper, 2.0 if n + 1 == len(used) else upper + t.share
+        cells += [(c, t.source, lower, upper) for c in range(int(lower * CELLS), min(CELLS - 1, int(upper * CELLS)) + 1)]
+    where = spark.createDataFrame(cells, "cell bigint, source string, lower double, upper double")  # at most CELLS and two a source
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id + 1) * {GOLDEN!r}D % 1").alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    chosen = points.join(F.broadcast(where), "cell").where("lower <= u AND u < upper")
+    chosen = chosen.select("slot", "source", F.expr(f"slot div {ROWS_PER_BUCKET}").alias("b"), F.lit(1).alias("one"))
+    return running_sums(chosen, ["source"], "b", ["slot"], {"rank": "one"}).select("slot", "source", (F.col("rank") - 1).alias("rank"))
+
+
+def _table(spark: SparkSession, **columns: dict[str, int]) -> DataFrame:
+    """One row a source, to be sent to all tasks."""
+    names = list(columns)
+    sources = columns[names[0]]
+    rows = [(s, *(columns[n][s] for n in names)) for s in sources]
+    return F.broadcast(spark.createDataFrame(rows, "source string, " + ", ".join(f"{n} bigint" for n in names)))
+
+
+Taken = dict[tuple[str, int], int]
+
+
+def _sizes(counts: DataFrame, limits: dict[str, int], above: bool) -> dict[str, list[tuple[int, int]]]:
+    """Per source, the SIZES sizes next to a limit, with the number of records: those up to it, falling, or those above it."""
+    near = counts.join(_table(counts.sparkSession, limit=limits), "source").where("size > limit" if above else "size <= limit")
+    order = Window.partitionBy("source").orderBy("size" if above else F.desc("size"))
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SIZES).orderBy("source", "k").collect():
+        found.setdefault(r["source"], []).append((r["size"], r["n"]))
+    return found
+
+
+def _fill(counts: DataFrame, gaps: dict[str, int]) -> Taken:
+    """How many records of which size to put into the gap of each source, which shrinks by them.
+
+    The greatest that fit are taken first, so that each size at least halves what is missing; then no record that is
+    left fits. Sizes are looked at SIZES at a time.
+    """
+    taken: Taken = {}
+    limits = {s: g for s, g in gaps.items() if g > 0}
+    while limits:
+        found = _sizes(counts, limits, above=False)
+        for s in list(limits):
+            listed = found.get(s, [])
+            for size, n in listed:
+                c = min(n, gaps[s] // size)
+                if c:
+                    taken[(s, size)], gaps[s] = c, gaps[s] - c * size
+            if len(listed) < SIZES or not gaps[s]:
+                del limits[s]
+            else:
+                limits[s] = min(gaps[s], listed[-1][0] - 1)
+    return taken
+
+
+def _fills(records: DataFrame, gaps: dict[str, int], repeats: dict[str, int]) -> list[Taken]:
+    """What to put into the gaps: of the records the last pass leaves out, then of all in up to ``repeats`` passes more.
+
+    Where a last record would overshoot by less than what is missing, it is taken, too.
+    """
+    counts = records.groupBy("source", "size").agg(F.count_if("out").alias("out"), F.count(F.lit(1)).alias("n"))
+    counts = cut(counts, "mixing")  # one row a source and size
+    out, fills = counts.select("source", "size", F.col("out").alias("n")).where("n > 0"), []
+    fills.append(_fill(out, gaps))
+    while any(g > 0 and repeats[s] >= len(fills) for s, g in gaps.items()):
+        mine = {s: g if repeats[s] >= len(fills) else 0 for s, g in gaps.items()}
+        fills.append(_fill(counts, mine))
+        gaps |= {s: g for s, g in mine.items() if repeats[s] >= len(fills) - 1}
+        if not fills[-1]:
+            break
+    short = {s: g for s, g in gaps.items() if g > 0}
+    for k, available in enumerate([out, counts] if short else []):
+        for s, listed in _sizes(available, short, above=True).items():
+            # In a further pass all records are there again, but for what it has taken already.
+            step = 0 if k == 0 else next((x for x in range(1, len(fills) + 1) if x <= repeats[s]), None)
+            if step is None or not gaps[s]:
+                continue
+            fills += [{} for _ in range(step + 1 - len(fills))]
+            size = next((z for z, n in listed if n > fills[step].get((s, z), 0)), None)
+            if size is not None and size < 2 * gaps[s]:
+                fills[step][(s, size)], gaps[s] = fills[step].get((s, size), 0) + 1, 0
+    return fills
+
+
+def _drawn(records: DataFrame, fill: Taken, begun: dict[str, int], step: int) -> DataFrame:
+    """The first records of each wanted size, placed behind what the source has given before."""
+    wanted = records.sparkSession.createDataFrame([(s, z, n) for (s, z), n in fill.items()], "source string, size bigint, wanted bigint")
+    alike = Window.partitionBy("source", "size").orderBy("h", "id")
+    found = records.join(F.broadcast(wanted), ["source", "size"])  # one row a size taken, at most SIZES a round and source
+    found = found.withColumn("k", F.row_number().over(alike)).where(F.col("k") <= max(fill.values())).where("k <= wanted")
+    # All that fills a gap together is no larger than one record.
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    ended = found.withColumn("upto", upto).join(_table(records.sparkSession, begun=begun), "source")
+    return ended.selectExpr("source", "id", "size", f"passes + {step} AS pass", "passes * held + begun + upto - size div 2 AS at")
+
+
 def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Target], total: float | None = None, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """(slot, source, pass, record_id, size): the records of the mix, to be read in the order of ``slot``.
 
-    The records of each source are shuffled and cut into blocks of equal size; a record lies in the block of its middle,
-    so that a large one is neither drawn long before its slots nor long after. Slot i of the schedule goes to the
-    source within whose cumulative share the point frac((i + 1) * golden ratio) lies; these points are spread so
-    evenly that any stretch of slots is close to the shares. The r-th slot of a source takes its r-th block, starting
-    over after the last, at most ``max_repeats`` times. ``total`` defaults to the greatest size at which every source
-    reaches its share, apart from sources that are too scarce for that (see :func:`reachable_total`): these run out,
-    as some do if a greater total is asked, and leave their slots empty. Blocks have ``block`` at most, and less where
-    the source of the least share would get fewer than LEAST_SLOTS slots.
+    Slot i of the schedule goes to the source within whose cumulative share the point frac((i + 1) * golden ratio)
+    lies; these points are spread so evenly that any stretch of slots is close to the shares. The records of each
+    source are shuffled and cut into blocks of equal size, and the r-th slot of a source takes its r-th block; a record
+    lies in the block of its middle and so takes the room of as many slots as it has tokens. After the last record the
+    source starts over, at most ``max_repeats`` times.
+
+    Each source has a quota, its share of ``total``. Of the pass in which the quota ends, the shuffled records before
+    its end are taken; what is then missing is filled with others that fit, first with those the pass leaves out, then
+    with any that may be repeated, see :func:`_fills`. So each source's size differs from its quota by at most half of
+    the smallest record the last pass leaves out, or, if it leaves out none, half of the record taken last.
+
+    ``total`` defaults to the greatest size at which every source reaches its share, apart from sources that are too
+    scarce for that (see :func:`reachable_total`): these run out, as some do if a greater total is asked, and leave
+    their slots empty. Blocks have ``block`` at most, and less where the source of the least share would get fewer than
+    LEAST_SLOTS slots.
 
     Sources without a target, records with a null id or source, and of size null or 0 are left out. A source without
     records gets no slots; the others keep their proportions. Repeated rows are records of their own. An empty table
@@ -84,28 +185,30 @@ def mix(df: DataFrame, record_id: str, source: str, size: str, targets: list[Tar
     slots = int(total // block)
     if not used or not slots:
         return spark.createDataFrame([], f"slot bigint, source string, pass int, `{record_id}` {kind}, `{size}` bigint")
-    bounds, upper = [], 0.0
-    for t in used:
-        upper += t.share
-        bounds.append((t.source, upper))
-
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id + 1) * {GOLDEN!r}D % 1").alias("u"))
-    points = points.select("slot", _choose(F.col("u"), bounds).alias("source"), F.expr(f"slot div {ROWS_PER_BUCKET}").alias("b"), F.lit(1).alias("one"))
-    ranked = running_sums(points, ["source"], "b", ["slot"], {"rank": "one"})
-    blocks = {t.source: math.ceil(available[t.source] / block) for t in used}
-
-    def per_source(values: dict[str, int]) -> Column:
-        return F.coalesce(*(F.when(F.col("source") == s, F.lit(v)) for s, v in values.items()))
-
-    placed = ranked.withColumn("n", per_source(blocks)).selectExpr("slot", "source", "CAST((rank - 1) div n AS INT) AS pass", "(rank - 1) % n AS block")
-    placed = placed.where(F.col("pass") < per_source({t.source: t.max_repeats for t in used}))
+    schedule = _schedule(spark, used, slots)
+    last = dict.fromkeys((t.source for t in used), 0) | {r["source"]: r["count"] - 1 for r in schedule.groupBy("source").count().collect()}  # one row a target
+    quota = {t.source: min(round(t.share * total), t.max_repeats * available[t.source]) for t in used}
+    passes, rest = {s: q // available[s] for s, q in quota.items()}, {s: q % available[s] for s, q in quota.items()}
 
     bits = max(0, min(62, math.ceil(math.log2(max(1, sum(n for n, _ in sums.values()) / ROWS_PER_BUCKET)))))
     place = F.xxhash64("id", F.monotonically_increasing_id(), F.lit(seed))  # the row's place in the written table
     shuffled = rows.withColumn("h", F.shiftrightunsigned(place, 1)).withColumn("b", F.shiftright("h", 63 - bits))
-    cumulated = running_sums(shuffled, ["source"], "b", ["h", "id"], {"upto": "size"})
-    held = cumulated.selectExpr("source", "id", "size", f"(2 * upto - size) div {2 * block} AS block")
-    return placed.join(held, ["source", "block"]).select("slot", "source", "pass", F.col("id").alias(record_id), F.col("size").alias(size))
+    known = {"passes": passes, "rest": rest, "held": {s: available[s] for s in quota}}
+    cumulated = cut(running_sums(shuffled, ["source"], "b", ["h", "id"], {"upto": "size"}).select("source", "id", "size", "h", "upto"), "mixing").join(_table(spark, **known), "source")
+    taken = {r["source"]: r["upto"] or 0 for r in cumulated.groupBy("source").agg(F.max(F.expr("CASE WHEN upto <= rest THEN upto END")).alias("upto")).collect()}
+    fills = _fills(cumulated.select("source", "size", F.expr("upto > rest").alias("out")), {s: r - taken.get(s, 0) for s, r in rest.items()}, {t.source: t.max_repeats - 1 - passes[t.source] for t in used})
+
+    runs = F.expr("sequence(0L, passes - IF(upto <= rest, 0L, 1L))")
+    drawn = cumulated.where("passes > 0 OR upto <= rest").select("source", "id", "size", F.explode(runs).alias("pass"), "held", "upto").selectExpr("source", "id", "size", "pass", "pass * held + upto - size div 2 AS at")
+    begun = {s: taken.get(s, 0) for s in quota}
+    for step, fill in enumerate(fills):
+        if fill:
+            drawn = drawn.union(_drawn(cumulated.where("upto > rest") if step == 0 else cumulated, fill, begun, step))
+            for (s, z), n in fill.items():
+                begun[s] += n * z
+    placed = drawn.join(_table(spark, last=last), "source").withColumn("rank", F.expr(f"least(at div {block}, last)"))
+    mixed = schedule.join(placed, ["source", "rank"])
+    return mixed.select("slot", "source", F.col("pass").cast("int").alias("pass"), F.col("id").alias(record_id), F.col("size").alias(size))
 
 
 def shares(mixed: DataFrame, size: str, targets: list[Target]) -> DataFrame:

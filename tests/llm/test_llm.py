@@ -460,6 +460,59 @@ def test_mix_special_cases(spark):
     assert {r["source"]: r["actual_share"] for r in mixing.shares(mixing.mix(df, "id", "source", "size", TARGETS, block=10), "size", TARGETS).collect()} == {"big": 1.0, "mid": 0.0, "tiny": 0.0}
 
 
+def largest_gap(spark, got, rows, targets, total=None):
+    """Greatest distance of a source's size from its quota, in halves of the smallest of its records left out of the last pass."""
+    sizes = collections.defaultdict(dict)
+    for i, s, n in rows:
+        if n:
+            sizes[s][i] = n
+    worst = 0.0
+    available = {s: sum(v.values()) for s, v in sizes.items()}
+    used = [t for t in targets if available.get(t.source)]
+    whole = sum(t.share for t in used)
+    used = [mixing.Target(t.source, t.share / whole, t.max_repeats) for t in used]
+    total = total or mixing.reachable_total(available, used, {s: available[s] / len(v) for s, v in sizes.items()})
+    for t in used:
+        own = [r for r in got if r["source"] == t.source]
+        quota = min(round(t.share * total), t.max_repeats * available[t.source])
+        held, last = sum(r["size"] for r in own), quota // available[t.source]
+        assert all(n <= t.max_repeats for n in collections.Counter(r["id"] for r in own).values())
+        left = sorted(set(sizes[t.source]) - {r["id"] for r in own if r["pass"] >= last}, key=sizes[t.source].get)
+        gap = abs(held - quota)
+        half = (sizes[t.source][left[0]] if left else max(sizes[t.source].values())) / 2  # the last one may have been taken
+        worst = max(worst, gap / half)
+    return worst
+
+
+@pytest.mark.parametrize("total", [None, 20_000, 333_333])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_meets_each_quota_to_half_a_record(spark, seed, total):
+    rng = random.Random(seed)
+    rows = [(i, s, int(rng.paretovariate(0.8) * 20) % 60_000 + rng.choice([0, 1])) for i, s in enumerate(["big"] * 800 + ["mid"] * 300 + ["tiny"] * 60)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    got = mixing.mix(df, "id", "source", "size", TARGETS, total=total, seed=seed).collect()
+    assert len({(r["id"], r["pass"]) for r in got}) == len(got)
+    assert largest_gap(spark, got, rows, TARGETS, total) <= 1.0
+
+
+def test_mix_looks_at_sizes_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SIZES", 2)
+    rng = random.Random(5)
+    rows = [(i, s, rng.randrange(1, 3000)) for i, s in enumerate(["big"] * 200 + ["mid"] * 100 + ["tiny"] * 40)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    assert largest_gap(spark, mixing.mix(df, "id", "source", "size", TARGETS).collect(), rows, TARGETS) <= 1.0
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_shares_of_documents_are_within_the_bound(spark, data, scale):
+    folder = data.replace("sf0.001", scale)
+    from shardloom.llm.document_queries import _sizes, _targets
+
+    rows = [tuple(r) for r in _sizes(spark, folder, "source").select("doc_id", "source", "tokens").collect() if r["source"] and r["tokens"]]
+    got = [{"id": r["doc_id"], "source": r["source"], "size": r["tokens"], "pass": r["pass"]} for r in queries.QUERIES["p9_mix"](spark, folder).collect()]
+    assert largest_gap(spark, got, rows, _targets(spark, folder)) <= 1.0
+
+
 def test_mix_is_not_shrunk_by_one_tiny_source(spark):
     df, rows = corpus(spark, {"big": 3000, "mid": 1200})
     df = df.union(spark.createDataFrame([(-1, "tiny", 15)], df.schema))
