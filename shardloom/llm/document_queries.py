@@ -71,11 +71,19 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return looks.normalize(read_table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "form")
 
 
-QUERIES = {"p8_assignments": p8_assignments, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its class of texts that look the same."""
+    return looks.classes(read_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p8_assignments": p8_assignments, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
 
 _FORMS = f"SELECT doc_id, text, {looks.form_sql('text')} AS form FROM documents"
 SQL = {
     "p10_found": f"""WITH forms AS MATERIALIZED ({_FORMS} WHERE text IS NOT NULL)
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+    "p10_classes": f"""WITH forms AS MATERIALIZED ({_FORMS} WHERE text IS NOT NULL)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, min(doc_id) OVER (PARTITION BY form, text) AS variant_id, n AS variants
+        FROM forms JOIN (SELECT form, count(DISTINCT text) AS n FROM forms GROUP BY form) USING (form)""",
     "p10_forms": f"SELECT doc_id, form FROM ({_FORMS})",
 }

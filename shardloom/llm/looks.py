@@ -81,17 +81,27 @@ def _translate(inner: str, pairs: dict[str, str]) -> str:
     return f"translate({inner}, {_literal(''.join(pairs))}, {_literal(''.join(pairs.values()))})"
 
 
+def _replaced(inner: str, pairs: dict[str, str]) -> str:
+    for c, letters in pairs.items():
+        inner = f"replace({inner}, {_literal(c)}, {_literal(letters)})"
+    return inner
+
+
 def form_sql(column: str) -> str:
-    """The SQL expression of the form of a text column; text of plain ASCII is its own form."""
+    """The SQL expression of the form of a text column; text of plain ASCII is its own form.
+
+    The replacements one by one are left out where a text has none of their characters. Those after composition need
+    only be looked for in the text as stored: a letter they map has a base that is mapped before, unless it was stored
+    with an accent already.
+    """
     shown = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in INVISIBLE)
+    has = lambda chars: f"regexp_matches({column}, {_literal('[' + ''.join(chars) + ']')})"
+    joined, (one, more) = unfolded(), composed_pairs()
     sql = f"regexp_replace({column}, '[{shown}]', '', 'g')"
-    for joined, letters in unfolded().items():
-        sql = f"replace({sql}, {_literal(joined)}, {_literal(letters)})"
-    one, more = composed_pairs()
+    sql = f"CASE WHEN {has(joined)} THEN {_replaced(sql, joined)} ELSE {sql} END"
     sql = f"nfc_normalize({_translate(sql, letter_pairs())})"
-    for c, letters in more.items():
-        sql = f"replace({sql}, {_literal(c)}, {_literal(letters)})"
-    return f"CASE WHEN strlen({column}) = length({column}) THEN {column} ELSE {_translate(sql, one)} END"
+    sql = f"CASE WHEN {has([*one, *more])} THEN {_translate(_replaced(sql, more), one)} ELSE {sql} END"
+    return f"CASE WHEN strlen({column}) = length({column}) THEN {column} ELSE {sql} END"
 
 
 def _batches(spec: str, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +128,27 @@ def normalize(df: DataFrame, text: str, output: str = "form") -> DataFrame:
     return out.toDF(*kept, output)
 
 
+def _digests(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """(id, form, stored): 128-bit digests of each record's form and text, written once."""
+    rows = df.select(F.col(record_id).cast("bigint").alias("id"), F.col(text).alias("text")).dropna()
+    spec = f"SELECT id, unhex(md5(f)) AS form, unhex(md5(text)) AS stored FROM (SELECT id, text, {form_sql('text')} AS f FROM texts)"
+    return cut(rows.mapInArrow(lambda batches: _batches(spec, ["id", "form", "stored"], batches), "id bigint, form binary, stored binary"), "looks")
+
+
+def classes(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    """(id, class_id, variant_id, variants): each record's class of texts that look the same, one row a record.
+
+    ``class_id`` is the smallest id of the class, ``variant_id`` the smallest with the same stored text, ``variants`` the
+    number of different stored texts in the class. All pairs follow from it, and it stays as small as the table where
+    one text has very many copies; see :func:`lookalikes` for the method and the cases.
+    """
+    digests = _digests(df, record_id, text).distinct()
+    variants = digests.groupBy("form", "stored").agg(F.min("id").alias("variant_id"))
+    whole = variants.groupBy("form").agg(F.min("variant_id").alias("class_id"), F.count(F.lit(1)).alias("variants"))
+    named = variants.join(whole, "form").select("form", "stored", "class_id", "variant_id", "variants")
+    return digests.join(named, ["form", "stored"]).select("id", "class_id", "variant_id", "variants")
+
+
 def lookalikes(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """(a, b), a < b: every pair of records whose texts are not equal as stored but look the same.
 
@@ -130,10 +161,7 @@ def lookalikes(df: DataFrame, record_id: str, text: str) -> DataFrame:
     must differ between records; rows repeated whole count once. An empty table gives no rows. Extra columns are not
     read.
     """
-    rows = df.select(F.col(record_id).cast("bigint").alias("id"), F.col(text).alias("text")).dropna()
-    spec = f"SELECT id, unhex(md5(f)) AS form, unhex(md5(text)) AS stored FROM (SELECT id, text, {form_sql('text')} AS f FROM texts)"
-    digests = rows.mapInArrow(lambda batches: _batches(spec, ["id", "form", "stored"], batches), "id bigint, form binary, stored binary")
-    digests = cut(digests, "looks")  # read three times below
+    digests = _digests(df, record_id, text)
     several = digests.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     near = digests.join(several, "form", "left_semi").distinct()
     variants = near.select("form", "stored").distinct()

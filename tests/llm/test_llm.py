@@ -571,6 +571,23 @@ def test_forms_are_stable(spark):
     assert looks.normalize(once, "text").where("text <> form").collect() == []
 
 
+def test_guards_leave_no_replacement_out(spark):
+    import duckdb
+
+    one, more = looks.composed_pairs()
+    letters = [*one, *more, *looks.unfolded(), *looks.letter_pairs()]
+    marks = ["", "\u0301", "\u0308", "\u0314", "\u0313", "\u0342", "\u0345"]
+    rng = random.Random(8)
+    texts = [c + m for c in letters for m in marks] + ["".join(rng.choice(letters) + rng.choice(marks) for _ in range(4)) for _ in range(3000)]
+    plain = f"regexp_replace(t, '[{''.join(f'\\x{{{a:X}}}-\\x{{{b:X}}}' for a, b in looks.INVISIBLE)}]', '', 'g')"
+    plain = f"nfc_normalize({looks._translate(looks._replaced(plain, looks.unfolded()), looks.letter_pairs())})"
+    plain = looks._translate(looks._replaced(plain, more), one)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (t VARCHAR)")
+    con.executemany("INSERT INTO x VALUES (?)", [(t,) for t in texts])
+    assert con.execute(f"SELECT t, {plain}, {looks.form_sql('t')} FROM x WHERE {plain} <> {looks.form_sql('t')}").fetchall() == []
+
+
 def test_tables_of_characters():
     one, more = looks.composed_pairs()
     pairs = looks.letter_pairs()
@@ -586,4 +603,7 @@ def test_lookalikes_special_cases(spark):
     got = sorted(map(tuple, looks.lookalikes(df, "id", "text").collect()))
     assert got == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7), (9, 10)]
     assert looks.lookalikes(df.limit(0), "id", "text").collect() == []
+    classed = sorted(map(tuple, looks.classes(df, "id", "text").collect()))
+    assert classed == [(1, 1, 1, 3), (2, 1, 2, 3), (3, 1, 1, 3), (4, 1, 4, 3), (6, 6, 6, 2), (7, 6, 7, 2), (8, 8, 8, 1), (9, 9, 9, 2), (10, 9, 10, 2)]
+    assert looks.classes(df.limit(0), "id", "text").collect() == []
     assert looks.normalize(df.limit(0), "text").collect() == []
