@@ -13,6 +13,9 @@ from .statements import canonical
 
 #: An account and day is listed from this many different values on.
 MANY = 50
+#: No count among millions should be off by so many standard errors and whole identifiers more: in a small set two
+#: identifiers that share a register cost one, which is seldom and then more than the error's share of so few.
+SIGMAS, WHOLE = 5, 2
 
 
 def _fields(*names: str) -> Column:
@@ -58,6 +61,22 @@ def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def p1_within(spark: SparkSession, d: str) -> DataFrame:
+    """Each count of ``p1_counts`` beside the exact one, and whether it lies within SIGMAS standard errors and WHOLE."""
+    keys = ["field_name", "user_name", "day"]
+    fields = F.explode(F.array(*(F.struct(F.lit(n).alias("field_name"), F.col(n).cast("string").alias("item")) for n in ("user_host", "thread_id", "user"))))
+    rows = read_table(spark, d, "audit").select(F.col("user").alias("user_name"), F.to_date("start").alias("day"), fields.alias("f"))
+    seen = rows.select("f.field_name", "user_name", "day", "f.item").where("item IS NOT NULL").distinct()
+    levels = F.explode(F.expr("array_compact(array(IF(user_name IS NOT NULL AND day IS NOT NULL, struct(user_name, day), NULL), IF(user_name IS NOT NULL, struct(user_name, CAST(NULL AS DATE) AS day), NULL), IF(day IS NOT NULL, struct(CAST(NULL AS STRING) AS user_name, day), NULL)))"))
+    each = seen.select("field_name", levels.alias("g"), "item").select("field_name", "g.*", "item").distinct()
+    exact = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    counted = p1_counts(spark, d)
+    same = [exact[k].eqNullSafe(counted[k]) for k in keys]
+    within = F.coalesce(F.abs(F.col("estimate") - F.col("n")) <= SIGMAS * F.col("estimate_error") + WHOLE, F.lit(False))
+    both = exact.join(counted, same[0] & same[1] & same[2], "full")
+    return both.select(*(F.coalesce(exact[k], counted[k]).alias(k) for k in keys), "n", within.cast("int").alias("within"))
+
+
 # ---- p2: duplicates hidden by formatting ---------------------------------------------------------------------------
 
 DATA_STATEMENTS = ["SELECT", "INSERT", "UPDATE", "DELETE", "REPLACE"]
@@ -127,7 +146,19 @@ def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return compactors.quantiles(compactors.merge(daily, GROUP), GROUP, PARTS)
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p2_found": p2_found, "p2_statements": p2_statements, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles}
+def p5_within(spark: SparkSession, d: str) -> DataFrame:
+    """For each percentile of ``p5_quantiles``, whether its rank lies within the stated error of the wanted one."""
+    costs, found = _costs(spark, d), p5_quantiles(spark, d)
+    met = costs.join(found, GROUP)
+    below = [x for name in PARTS for x in (F.count_if(F.col("cost") < F.col(name)).alias(f"{name}_below"), F.count_if(F.col("cost") <= F.col(name)).alias(f"{name}_upto"))]
+    ranks = met.groupBy(*GROUP, "rank_error").agg(F.count(F.lit(1)).alias("n"), *below)
+    # The answer has some rank of those its value holds; a rank is a whole number of rows.
+    room = F.col("rank_error") * F.col("n") + 1
+    fits = [((F.col(f"{name}_below") - room <= part * F.col("n")) & (part * F.col("n") <= F.col(f"{name}_upto") + room)).cast("int").alias(f"{name}_within") for name, part in PARTS.items()]
+    return ranks.select(*GROUP, "n", *fits)
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p1_within": p1_within, "p2_found": p2_found, "p2_statements": p2_statements, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_within": p5_within}
 
 SQL = {
     "p1_found": " UNION ALL ".join(
@@ -140,6 +171,23 @@ SQL = {
         HAVING 100 * count(DISTINCT audit_id) >= {PERCENT} * (SELECT count(DISTINCT audit_id) FROM audit)"""
         for f in ITEMS
     ),
+    "p3_top": " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{f}' AS field_name, {f} AS item, count(DISTINCT audit_id) AS lower, count(DISTINCT audit_id) AS upper FROM audit
+        WHERE {f} IS NOT NULL GROUP BY {f} ORDER BY lower DESC, item LIMIT 100)"""
+        for f in ITEMS
+    ),
+    "p1_within": " UNION ALL ".join(
+        f"""SELECT '{f}' AS field_name, {user} AS user_name, {day} AS day, count(DISTINCT "{f}") AS n, 1 AS within FROM audit
+        WHERE "{f}" IS NOT NULL AND {there} GROUP BY ALL"""
+        for f in ("user_host", "thread_id", "user")
+        for user, day, there in (
+            ('"user"', "strftime(start, '%Y-%m-%d')", '"user" IS NOT NULL AND start IS NOT NULL'),
+            ('"user"', "CAST(NULL AS VARCHAR)", '"user" IS NOT NULL'),
+            ("CAST(NULL AS VARCHAR)", "strftime(start, '%Y-%m-%d')", "start IS NOT NULL"),
+        )
+    ),
+    "p5_within": """SELECT user_name, command_type, count(*) AS n, 1 AS p50_within, 1 AS p90_within, 1 AS p95_within, 1 AS p99_within
+        FROM (SELECT DISTINCT audit_id, "user" AS user_name, command_type, cost FROM audit WHERE "user" IS NOT NULL AND command_type IS NOT NULL AND cost >= 0) GROUP BY ALL""",
     "p5_found": f"""SELECT user_name, command_type FROM (SELECT DISTINCT audit_id, "user" AS user_name, command_type, cost FROM audit)
         WHERE user_name IS NOT NULL AND command_type IS NOT NULL AND cost >= 0 GROUP BY ALL
         HAVING count(*) >= {LEAST_ROWS} AND quantile_disc(cost, 0.95) >= {STRETCH} * quantile_disc(cost, 0.5)""",
