@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..plans.messages import Refusal
 from .prefix import fresh
 
@@ -71,7 +72,8 @@ class TooManyRows(Refusal):
 
 
 def guard_rows(df: DataFrame, most: int) -> DataFrame:
-    """``df``, if it has at most ``most`` rows; counts no further than that."""
-    if df.limit(most + 1).count() > most:
+    """``df``, if it has at most ``most`` rows. It is worked out once, no further than that, and read back."""
+    held = cut(df.limit(most + 1), "guarded")
+    if held.count() > most:
         raise TooManyRows("join_rows", most=most)
-    return df
+    return held

@@ -454,6 +454,53 @@ life(
     "delete from o where id = 8 and cust > 0",
     "select * from o",
 )
+life(
+    "engine_transactions",
+    "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS name FROM nation WHERE n_regionkey <> 2",
+    "create table n (id int primary key, name varchar(40), region int)",
+    "begin",
+    "insert into n select n_nationkey, n_name, n_regionkey from nation",
+    "update n set name = lower(name) where region = 1",
+    "commit",
+    "begin",
+    "delete from n where region <> 2",
+    "rollback",
+    "start transaction",
+    "delete from n where region = 2",
+    "commit",
+    "select id, name from n",
+)
+life(
+    "engine_definitions",
+    "SELECT n_nationkey AS id, n_name AS title, CASE WHEN n_nationkey < 20 THEN 7 ELSE n_nationkey END AS size, CAST(n_regionkey AS BIGINT) AS region FROM nation",
+    "create table a (id int primary key, name varchar(40), region int, gone int) partition by hash(id) partitions 8",
+    "insert into a select n_nationkey, n_name, n_regionkey, 1 from nation where n_nationkey < 20",
+    "alter table a add column size int not null default 7",
+    "alter table a modify column region bigint",
+    "alter table a drop column gone",
+    "create unique index names on a (id, name)",
+    "insert into a (id, name, region, size) select n_nationkey, n_name, n_regionkey, n_nationkey from nation where n_nationkey >= 20",
+    "rename table a to b",
+    "create table a (id int primary key)",
+    "select b.id, b.name title, b.size, b.region from b left join a on a.id = b.id",
+)
+life(
+    "engine_auto_increment",
+    "SELECT row_number() OVER (ORDER BY n_nationkey) AS id, n_name AS name FROM nation UNION ALL SELECT 1000, 'given' UNION ALL SELECT 1000 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region",
+    "create table a (id bigint not null auto_increment primary key, name varchar(40) default 'x')",
+    "insert into a (name) select n_name from nation order by n_nationkey",
+    "insert into a values (1000, 'given')",
+    "insert into a select 0, r_name from region order by r_regionkey",
+    "select * from a",
+)
+life(
+    "engine_checksum",
+    BENCHYOU_CRC + "SELECT 'shop.b' AS \"Table\", CAST(sum(crc) % 4294967296 AS BIGINT) AS \"Checksum\" FROM sums UNION ALL SELECT 'shop.none', NULL",
+    "create table b (id bigint, k bigint, c text, pad text) partition by hash(id) partitions 8",
+    "insert into b select id, k, c, pad from benchyou0",
+    "optimize table b",
+    "checksum table b, none",
+)
 life(
     "engine_list_table",
     "SELECT c1, c2 FROM t_list WHERE c1 IN (SELECT list_value FROM shard_map WHERE table_name = 't_list') AND c1 IN (1, 3, 8)",

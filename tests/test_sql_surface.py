@@ -822,3 +822,10 @@ def test_same_rows_tells_apart_what_moved_between_columns(spark):
     assert not cdc.same_rows(a, b)
     assert cdc.same_rows(a, a)
     assert cdc.same_rows(a, a.select("b", "a"))
+
+
+def test_last_insert_id(engine):
+    engine.sql("insert into t (name) values ('a'), ('b')")
+    assert rows(engine.sql("select last_insert_id()")) == [(1,)]
+    engine.sql("insert into t (name) values ('c')")
+    assert rows(engine.sql("select last_insert_id() + 0 as n, count(*) from t")) == [(3, 3)]
