@@ -1,4 +1,4 @@
-"""Sessions separated by inactivity, closed by event-time timers (problem 6)."""
+"""Sessions separated by inactivity, closed by the watermark passing their end (problem 6)."""
 
 from __future__ import annotations
 
@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from ..lineage import remove, scratch_path
 from ..operators.prefix import fresh
 
-#: Rows that one core takes in per micro-batch of a replay; bounds the sessions a core holds open.
-ROWS_PER_CORE = 250_000
+#: Rows that one core takes in per micro-batch of a replay. They bound the sessions a core holds open, each some 200
+#: bytes of state; a batch costs about a second besides its rows, for state files and the log of offsets.
+ROWS_PER_CORE = 1_000_000
 
 
 def session_timers(stream: DataFrame, keys: list[str], ts: str, gap_us: int, delay_us: int = 1_000_000) -> DataFrame:
     """Sessions of a stream: (keys, first, last, n), each emitted once, when its timer has run out.
 
-    Each event opens a session of its key or joins the open one, and sets that session's timer to ``gap_us`` after
-    the latest event; an event exactly ``gap_us`` after the one before still belongs to it. When the watermark, the
-    latest event time less ``delay_us``, passes the timer, the session is final and leaves the state. Events may come
-    out of order by up to ``delay_us``. Keys and ``ts`` (a timestamp) must not be null. For append mode.
+    This is ``session_window`` in append mode. Its state holds the open sessions by key; an event opens one or moves the
+    end of the open one to ``gap_us`` after itself, and one exactly ``gap_us`` after the one before still belongs to it.
+    There is no timer of its own for each key: when the watermark, the latest event time less ``delay_us``, passes the
+    end of a session, the session is given out and leaves the state. Events may come out of order by up to ``delay_us``.
+    Keys and ``ts`` (a timestamp) must not be null.
     """
     window, = fresh(stream.columns, "_window")
     timed = stream.withWatermark(ts, f"{delay_us} microseconds")
@@ -58,7 +60,7 @@ def replay_sessions(df: DataFrame, keys: list[str], ts: str, gap_us: int, event_
 
     The table is range-partitioned by time into chunks of ``rows_per_core`` rows a core. A streaming query takes in
     chunk after chunk; its state holds the sessions of one chunk. The last event is followed by a marker beyond its
-    timer, so that every session is closed. Events of a key are merged into sessions before the shuffle, so a key
+    end, so that every session is closed. Events of a key are merged into sessions before the shuffle, so a key
     that holds much of a chunk sends a few sessions per task. Staged rows and results lie in the shared folder.
     """
     spark = df.sparkSession
