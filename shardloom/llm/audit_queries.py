@@ -77,6 +77,19 @@ def p1_within(spark: SparkSession, d: str) -> DataFrame:
     return both.select(*(F.coalesce(exact[k], counted[k]).alias(k) for k in keys), "n", within.cast("int").alias("within"))
 
 
+def p1_overlap_within(spark: SparkSession, d: str) -> DataFrame:
+    """The exact sizes for ``p1_overlap``, and whether the estimates lie within SIGMAS standard errors and WHOLE of them."""
+    fields = F.explode(F.array(*(F.struct(F.lit(n).alias("field_name"), F.col(n).cast("string").alias("item")) for n in ("user_host", "thread_id", "user"))))
+    rows = read_table(spark, d, "audit").select(F.to_date("start").alias("day"), fields.alias("f")).select("f.*", "day").dropna().distinct()
+    # An item of a day stands in that day's pair as first, and in that of the day before as second.
+    sides = rows.select("field_name", "item", F.explode(F.expr("array(struct(day, 1 AS first, 0 AS second), struct(date_sub(day, 1) AS day, 0 AS first, 1 AS second))")).alias("s"))
+    each = sides.select("field_name", "item", "s.*").groupBy("field_name", "day", "item").agg(F.max("first").alias("first"), F.max("second").alias("second"))
+    sums = each.groupBy("field_name", "day").agg(F.count(F.lit(1)).alias("n_union"), F.sum(F.expr("first * second")).alias("n_both"), F.max("first").alias("a"), F.max("second").alias("b"))
+    exact = sums.where("a = 1 AND b = 1").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    near = [(F.abs(F.col(name) - F.col(n)) <= SIGMAS * F.col(f"{name}_error") + WHOLE).cast("int").alias(f"{name}_within") for name, n in (("union", "n_union"), ("intersection", "n_both"))]
+    return exact.join(p1_overlap(spark, d), ["field_name", "day"], "left").select("field_name", "day", "n_union", "n_both", *near)
+
+
 # ---- p2: duplicates hidden by formatting ---------------------------------------------------------------------------
 
 DATA_STATEMENTS = ["SELECT", "INSERT", "UPDATE", "DELETE", "REPLACE"]
@@ -158,7 +171,7 @@ def p5_within(spark: SparkSession, d: str) -> DataFrame:
     return ranks.select(*GROUP, "n", *fits)
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p1_within": p1_within, "p2_found": p2_found, "p2_statements": p2_statements, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_within": p5_within}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_overlap": p1_overlap, "p1_within": p1_within, "p1_overlap_within": p1_overlap_within, "p2_found": p2_found, "p2_statements": p2_statements, "p3_found": p3_found, "p3_top": p3_top, "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_within": p5_within}
 
 SQL = {
     "p1_found": " UNION ALL ".join(
@@ -186,6 +199,14 @@ SQL = {
             ("CAST(NULL AS VARCHAR)", "strftime(start, '%Y-%m-%d')", "start IS NOT NULL"),
         )
     ),
+    "p1_overlap_within": " UNION ALL ".join(
+        f"""SELECT '{f}' AS field_name, strftime(a.day, '%Y-%m-%d') AS day, (SELECT count(DISTINCT "{f}") FROM audit WHERE CAST(start AS DATE) BETWEEN a.day AND a.day + 1) AS n_union,
+        (SELECT count(*) FROM (SELECT "{f}" FROM audit WHERE "{f}" IS NOT NULL AND CAST(start AS DATE) = a.day INTERSECT SELECT "{f}" FROM audit WHERE CAST(start AS DATE) = a.day + 1)) AS n_both,
+        1 AS union_within, 1 AS intersection_within
+        FROM (SELECT DISTINCT CAST(start AS DATE) AS day FROM audit WHERE "{f}" IS NOT NULL AND start IS NOT NULL) a
+        WHERE a.day + 1 IN (SELECT CAST(start AS DATE) FROM audit WHERE "{f}" IS NOT NULL AND start IS NOT NULL)"""
+        for f in ("user_host", "thread_id", "user")
+    ),
     "p5_within": """SELECT user_name, command_type, count(*) AS n, 1 AS p50_within, 1 AS p90_within, 1 AS p95_within, 1 AS p99_within
         FROM (SELECT DISTINCT audit_id, "user" AS user_name, command_type, cost FROM audit WHERE "user" IS NOT NULL AND command_type IS NOT NULL AND cost >= 0) GROUP BY ALL""",
     "p5_found": f"""SELECT user_name, command_type FROM (SELECT DISTINCT audit_id, "user" AS user_name, command_type, cost FROM audit)

@@ -39,6 +39,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return total.withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the assignments: documents placed, containers too full, documents cut without need or in part."""
+    packed = _packed(spark, d)
+    full = packed.groupBy("container_id", "capacity", "grp", "bin").agg(F.sum("tokens").alias("tokens")).groupBy("container_id").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("too_full"))
+    each = packed.groupBy("container_id", "capacity", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"))
+    whole = each.groupBy("container_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut_without_need"), F.count_if(F.col("n") != F.col("pieces")).alias("in_part")
+    )
+    return whole.join(F.broadcast(full), "container_id")  # one row a kind of container
+
+
 # ---- p9: mixes -----------------------------------------------------------------------------------------------------
 
 
@@ -57,6 +68,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), "tokens", _targets(spark, d))
 
 
+def p9_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mix: no document used more often than it may, none twice in a pass, none of another source."""
+    limits = spark.createDataFrame([(t.source, t.max_repeats) for t in _targets(spark, d)], "source string, max_repeats int")
+    used = p9_mix(spark, d).groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pass").alias("passes"))
+    own = read_table(spark, d, "documents").select("doc_id", F.col("source").alias("own"))
+    met = used.join(own, "doc_id").join(F.broadcast(limits), "source", "right")  # one row a target
+    return met.groupBy("source").agg(F.expr("count_if(n > max_repeats) AS too_often"), F.expr("count_if(n <> passes) AS twice_in_a_pass"), F.expr("count_if(own <> source) AS of_another"))
+
+
 # ---- p10: visual forms ---------------------------------------------------------------------------------------------
 
 
@@ -76,10 +96,12 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return looks.classes(read_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p8_assignments": p8_assignments, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
+QUERIES = {"p8_assignments": p8_assignments, "p8_fill": p8_fill, "p8_sound": p8_sound, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_sound": p9_sound, "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes}
 
 _FORMS = f"SELECT doc_id, text, {looks.form_sql('text')} AS form FROM documents"
 SQL = {
+    "p8_sound": """SELECT container_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS too_full, 0 AS cut_without_need, 0 AS in_part FROM containers""",
+    "p9_sound": "SELECT source, 0 AS too_often, 0 AS twice_in_a_pass, 0 AS of_another FROM mix_targets",
     "p10_found": f"""WITH forms AS MATERIALIZED ({_FORMS} WHERE text IS NOT NULL)
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
     "p10_classes": f"""WITH forms AS MATERIALIZED ({_FORMS} WHERE text IS NOT NULL)

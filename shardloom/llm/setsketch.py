@@ -242,4 +242,6 @@ def compare(pairs: DataFrame, keys: list[str], left: str, right: str, p: Registe
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([x[n] for x in found], pa.float64()) for n in names)], names=[*keys, *names])
 
     schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", {n} double" for n in names)
-    return pairs.select(*keys, F.col(left).alias(l), F.col(right).alias(r)).mapInArrow(run, schema)
+    # A pair takes more time than room, so that rows few enough for one task are still dealt to all cores.
+    dealt = pairs.select(*keys, F.col(left).alias(l), F.col(right).alias(r)).repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, schema)
