@@ -24,6 +24,8 @@ FIXED = {
     "many_backends": "router.compute.backends[{n}].too.many:[max:{most}]",
     "no_list": "router.compute.partition.list.is.null",
     "list_twice": "partition.list.different.backend.with.same.values",
+    "storage_engine": "Unknown storage engine '{name}', currently we only support InnoDB and TokuDB (errno 1286) (sqlstate 42000)",
+    "encryption": "The encryption option is not supported (errno 1149) (sqlstate 42000)",
     "ddl_in_transaction": "in.multiStmtTrans.unsupported.DDL",
     "nested_begin": "You have an error in your SQL syntax, in.transaction: nested BEGIN (errno 1149) (sqlstate 42000)",
     "statement": "unsupported.query: {text} (errno 1105) (sqlstate HY000)",
@@ -77,6 +79,8 @@ PLAIN = {
     "many_backends": "{n} backends are more than the {most} there is room for",
     "no_list": "PARTITION BY LIST needs at least one value",
     "list_twice": "a value is listed for two backends",
+    "storage_engine": "Unknown storage engine '{name}' (errno 1286) (sqlstate 42000)",
+    "encryption": "databases are stored as the file system stores them; ENCRYPTION is refused",
     "ddl_in_transaction": "DDL is refused inside a transaction",
     "nested_begin": "a transaction is open already",
     "statement": "statement not known: {text}",
