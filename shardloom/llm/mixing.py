@@ -71,37 +71,59 @@ def _table(spark: SparkSession, **columns: dict[str, int]) -> DataFrame:
 Taken = dict[tuple[str, int], int]
 
 
-def _sizes(counts: DataFrame, limits: dict[str, int], above: bool) -> dict[str, list[tuple[int, int]]]:
-    """Per source, the SIZES sizes next to a limit, with the number of records: those up to it, falling, or those above it."""
-    near = counts.join(_table(counts.sparkSession, limit=limits), "source").where("size > limit" if above else "size <= limit")
-    order = Window.partitionBy("source").orderBy("size" if above else F.desc("size"))
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SIZES).orderBy("source", "k").collect():
-        found.setdefault(r["source"], []).append((r["size"], r["n"]))
-    return found
+class _Sizes:
+    """Sizes of the records of each source and how many have them, fetched around a limit, SIZES of them on either side.
 
-
-def _fill(counts: DataFrame, gaps: dict[str, int]) -> Taken:
-    """How many records of which size to put into the gap of each source, which shrinks by them.
-
-    The greatest that fit are taken first, so that each size at least halves what is missing; then no record that is
-    left fits. Sizes are looked at SIZES at a time.
+    ``counts``: (source, size, out, n), of which ``out`` counts the records the last pass leaves out.
     """
-    taken: Taken = {}
-    limits = {s: g for s, g in gaps.items() if g > 0}
-    while limits:
-        found = _sizes(counts, limits, above=False)
-        for s in list(limits):
-            listed = found.get(s, [])
-            for size, n in listed:
-                c = min(n, gaps[s] // size)
-                if c:
-                    taken[(s, size)], gaps[s] = c, gaps[s] - c * size
-            if len(listed) < SIZES or not gaps[s]:
-                del limits[s]
-            else:
-                limits[s] = min(gaps[s], listed[-1][0] - 1)
-    return taken
+
+    def __init__(self, counts: DataFrame, limits: dict[str, int]) -> None:
+        self.counts, self.known = counts, {s: {} for s in limits}
+        self.low, self.high = dict(limits), dict(limits)  # all sizes in between are known
+        self.fetch(limits)
+
+    def fetch(self, limits: dict[str, int]) -> None:
+        """One query; what was known stays known, as the limits are at its ends."""
+        limits = {s: g for s, g in limits.items() if s in self.known}
+        if not limits:
+            return
+        near = self.counts.join(_table(self.counts.sparkSession, limit=limits), "source").withColumn("over", F.expr("size > limit"))
+        order = Window.partitionBy("source", "over").orderBy(F.abs(F.col("size") - F.col("limit")))
+        rows = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SIZES).collect()
+        for s in limits:
+            mine = sorted((r["over"], r["size"], r["out"], r["n"]) for r in rows if r["source"] == s)
+            self.known[s] |= {size: (out, n) for _, size, out, n in mine}
+            below, above = [r[1] for r in mine if not r[0]], [r[1] for r in mine if r[0]]
+            self.low[s] = min(self.low[s], below[0] if len(below) == SIZES else 0)
+            self.high[s] = max(self.high[s], above[-1] if len(above) == SIZES else 1 << 62)
+
+    def fill(self, gaps: dict[str, int], k: int) -> Taken:
+        """How many records of which size to put into the gap of each source, which shrinks by them; ``k``: 0 for those left out, 1 for all.
+
+        The greatest that fit are taken first, so that each size at least halves what is missing; then no record fits.
+        """
+        taken: Taken = {}
+        limits = {s: g for s, g in gaps.items() if g > 0}
+        while limits:
+            for s in list(limits):
+                for size in sorted((z for z in self.known[s] if z <= limits[s]), reverse=True):
+                    c = min(self.known[s][size][k], gaps[s] // size)
+                    if c:
+                        taken[(s, size)], gaps[s] = c, gaps[s] - c * size
+                if self.low[s] <= 1 or not gaps[s]:
+                    del limits[s]
+                else:
+                    limits[s] = min(gaps[s], self.low[s] - 1)
+            self.fetch(limits)
+        return taken
+
+    def above(self, s: str, gap: int, k: int, taken: Taken) -> int | None:
+        """The smallest size above a gap of which a record is left."""
+        while True:
+            size = next((z for z in sorted(self.known[s]) if z > gap and self.known[s][z][k] > taken.get((s, z), 0)), None)
+            if size is not None or self.high[s] >= 1 << 62:
+                return size
+            self.fetch({s: self.high[s]})
 
 
 def _fills(records: DataFrame, gaps: dict[str, int], repeats: dict[str, int]) -> list[Taken]:
@@ -109,27 +131,28 @@ def _fills(records: DataFrame, gaps: dict[str, int], repeats: dict[str, int]) ->
 
     Where a last record would overshoot by less than what is missing, it is taken, too.
     """
+    if not any(g > 0 for g in gaps.values()):
+        return []
     counts = records.groupBy("source", "size").agg(F.count_if("out").alias("out"), F.count(F.lit(1)).alias("n"))
-    counts = cut(counts, "mixing")  # one row a source and size
-    out, fills = counts.select("source", "size", F.col("out").alias("n")).where("n > 0"), []
-    fills.append(_fill(out, gaps))
-    while any(g > 0 and repeats[s] >= len(fills) for s, g in gaps.items()):
-        mine = {s: g if repeats[s] >= len(fills) else 0 for s, g in gaps.items()}
-        fills.append(_fill(counts, mine))
-        gaps |= {s: g for s, g in mine.items() if repeats[s] >= len(fills) - 1}
-        if not fills[-1]:
+    sizes = _Sizes(counts, {s: g for s, g in gaps.items() if g > 0})
+    fills = [sizes.fill(gaps, 0)]
+    while True:
+        mine = {s: g for s, g in gaps.items() if g > 0 and repeats[s] >= len(fills)}
+        more = sizes.fill(mine, 1) if mine else {}
+        if not more:
             break
-    short = {s: g for s, g in gaps.items() if g > 0}
-    for k, available in enumerate([out, counts] if short else []):
-        for s, listed in _sizes(available, short, above=True).items():
+        fills.append(more)
+        gaps |= mine
+    for s, gap in gaps.items():
+        if gap > 0:
             # In a further pass all records are there again, but for what it has taken already.
-            step = 0 if k == 0 else next((x for x in range(1, len(fills) + 1) if x <= repeats[s]), None)
-            if step is None or not gaps[s]:
-                continue
-            fills += [{} for _ in range(step + 1 - len(fills))]
-            size = next((z for z, n in listed if n > fills[step].get((s, z), 0)), None)
-            if size is not None and size < 2 * gaps[s]:
-                fills[step][(s, size)], gaps[s] = fills[step].get((s, size), 0) + 1, 0
+            for step, k in ((0, 0), (1, 1)) if repeats[s] >= 1 else ((0, 0),):
+                while len(fills) <= step:
+                    fills.append({})
+                size = sizes.above(s, gap, k, fills[step])
+                if size is not None and size < 2 * gap:
+                    fills[step][(s, size)] = fills[step].get((s, size), 0) + 1
+                    break
     return fills
 
 
