@@ -22,7 +22,7 @@ def _containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    capacities = [r["capacity"] for r in _containers(spark, d).select("capacity").distinct().collect()]  # a table of kinds of container
+    capacities = [r["capacity"] for r in _containers(spark, d).select("capacity").distinct().limit(packing.MOST_KINDS + 1).collect()]  # pack() refuses more
     packed = packing.pack(_sizes(spark, d), "doc_id", "tokens", capacities)
     return packed.join(F.broadcast(_containers(spark, d)), "capacity")
 

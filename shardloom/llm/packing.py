@@ -13,6 +13,8 @@ from ..lineage import cut
 
 #: Items packed together in one task.
 GROUP_SIZE = 8192
+#: Capacities for which items are packed at once.
+MOST_KINDS = 1000
 
 
 class Bins:
@@ -77,6 +79,8 @@ def pack(df: DataFrame, item: str, size: str, capacities: list[int], group_size:
     Items with a null id or size are left out; size 0 takes no room, in the first bin of its group. Repeated rows are
     items of their own, and dealt to different groups. An empty table gives no rows. Extra columns are not read.
     """
+    if len(set(capacities)) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} capacities")
     kind = df.schema[item].dataType.simpleString()
     items = cut(df.select(F.col(item).alias("item"), F.col(size).cast("bigint").alias("size")).where("item IS NOT NULL AND size >= 0"), "packing")
     groups = max(1, math.ceil(items.count() / group_size))
