@@ -161,6 +161,7 @@ def merge_in_order(table: DataFrame, rows: DataFrame, unique: list[list[str]], o
     if not unique:
         return insert(table, rows.drop(order)).withColumn(affected, F.lit(1).cast("bigint"))
     rows = cut(rows, "merged")
+    label, = fresh([*table.columns, order, affected], "_group")
     changed_keys = {c.lower() for c in updates or {}} & {c.lower() for c in unique[0]}
     by_key = len(unique) == 1 and not changed_keys
     state = table.withColumn(affected, F.lit(0).cast("bigint"))
@@ -169,13 +170,13 @@ def merge_in_order(table: DataFrame, rows: DataFrame, unique: list[list[str]], o
         rows = rows.where(~_has_null(unique[0]))
     else:
         loose = None
-        rows = _grouped(table, rows, unique, order)
+        rows = _grouped(table, rows, unique, order, label)
     step, = fresh(rows.columns, "_step")
-    rows, steps = _in_steps(rows, unique[0] if by_key else [_LABEL], order, step, IN_ORDER if by_key else IN_ORDER_MANY_KEYS)
+    rows, steps = _in_steps(rows, unique[0] if by_key else [label], order, step, IN_ORDER if by_key else IN_ORDER_MANY_KEYS)
     one = _fold_by_key if by_key else _fold_groups
     for k in range(steps):
         part = rows.where(F.col(step) == k).drop(step) if steps > 1 else rows.drop(step)
-        state = one(state, part, unique, order, updates, affected)
+        state = one(state, part, unique, order, updates, affected, label)
         if k + 1 < steps:
             state = cut(state, "merged")
     if loose is not None:
@@ -183,9 +184,6 @@ def merge_in_order(table: DataFrame, rows: DataFrame, unique: list[list[str]], o
     return state
 
 
-_LABEL = "_group"
-
-
 def _in_steps(rows: DataFrame, group: list[str], order: str, step: str, most: int) -> tuple[DataFrame, int]:
     """Adds the number of the step in which each row is applied, and how many steps there are."""
     largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
@@ -214,7 +212,7 @@ def _new_state(table: DataFrame, updates: dict[str, str], affected: str) -> str:
     return "named_struct(" + ", ".join(f"'{c}', {v}" for c, v in values.items()) + f", '{affected}', t.`{affected}` + IF({same}, 0L, 2L))"
 
 
-def _fold_by_key(state: DataFrame, rows: DataFrame, unique: list[list[str]], order: str, updates: dict[str, str] | None, affected: str) -> DataFrame:
+def _fold_by_key(state: DataFrame, rows: DataFrame, unique: list[list[str]], order: str, updates: dict[str, str] | None, affected: str, label: str) -> DataFrame:
     """One key: the rows of each of its values, in their order, are folded into the row of the table that has it."""
     key, = unique
     columns = [c for c in state.columns if c != affected]
@@ -232,57 +230,57 @@ def _fold_by_key(state: DataFrame, rows: DataFrame, unique: list[list[str]], ord
     return met.union(fresh_rows).select(f"`{old}`.*")
 
 
-def _fold_groups(state: DataFrame, rows: DataFrame, unique: list[list[str]], order: str, updates: dict[str, str] | None, affected: str) -> DataFrame:
+def _fold_groups(state: DataFrame, rows: DataFrame, unique: list[list[str]], order: str, updates: dict[str, str] | None, affected: str, label: str) -> DataFrame:
     """Several keys: groups of rows that hang together are folded into arrays of the table's rows they meet."""
     columns = [c for c in state.columns if c != affected]
     kind = _type(state)
-    new, held = fresh([*state.columns, _LABEL], "_new", "_held")
-    arrays = rows.groupBy(_LABEL).agg(F.array_sort(F.collect_list(F.expr(f"named_struct('{order}', `{order}`, " + ", ".join(f"'{c}', `{c}`" for c in columns) + ")"))).alias(new))
-    met = _labelled(state, rows, unique)
-    mine = met.where(F.col(_LABEL).isNotNull()).groupBy(_LABEL).agg(F.collect_list(F.expr(_struct(state.columns))).alias(held))
+    new, held = fresh([*state.columns, label], "_new", "_held")
+    arrays = rows.groupBy(label).agg(F.array_sort(F.collect_list(F.expr(f"named_struct('{order}', `{order}`, " + ", ".join(f"'{c}', `{c}`" for c in columns) + ")"))).alias(new))
+    met = _labelled(state, rows, unique, label)
+    mine = met.where(F.col(label).isNotNull()).groupBy(label).agg(F.collect_list(F.expr(_struct(state.columns))).alias(held))
     hits = ", ".join(f"nullif(array_position(transform(s, t -> coalesce({' AND '.join(f't.`{c}` = n.`{c}`' for c in k)}, false)), true), 0)" for k in unique)
     first = "named_struct(" + ", ".join(f"'{c}', n.`{c}`" for c in columns) + f", '{affected}', 1L)"
     later = f"transform(s, (t, i) -> IF(i + 1 = p, CAST({_new_state(state, updates, affected)} AS {kind}), t))" if updates is not None else "s"
     one = f"transform(array(coalesce({hits})), p -> IF(p IS NULL, concat(s, array(CAST({first} AS {kind}))), {later}))[0]"
     fold = f"aggregate(`{new}`, CAST(coalesce(`{held}`, array()) AS array<{kind}>), (s, n) -> CAST({one} AS array<{kind}>))"
-    folded = arrays.join(mine, _LABEL, "left").select(F.explode(F.expr(fold)).alias(held)).select(f"`{held}`.*")
-    return met.where(F.col(_LABEL).isNull()).drop(_LABEL).union(folded)
+    folded = arrays.join(mine, label, "left").select(F.explode(F.expr(fold)).alias(held)).select(f"`{held}`.*")
+    return met.where(F.col(label).isNull()).drop(label).union(folded)
 
 
-def _labelled(table: DataFrame, rows: DataFrame, unique: list[list[str]]) -> DataFrame:
+def _labelled(table: DataFrame, rows: DataFrame, unique: list[list[str]], label: str) -> DataFrame:
     """The table's rows with the label of the rows of the statement that share a key with them; null if none does."""
     out = table
-    names = fresh([*table.columns, _LABEL], *(f"_l{i}" for i in range(len(unique))))
+    names = fresh([*table.columns, label], *(f"_l{i}" for i in range(len(unique))))
     for name, k in zip(names, unique, strict=True):
-        out = out.join(rows.dropna(subset=k).groupBy(*k).agg(F.min(_LABEL).alias(name)), k, "left")
-    return out.select(*table.columns, F.coalesce(*(F.col(n) for n in names)).alias(_LABEL))
+        out = out.join(rows.dropna(subset=k).groupBy(*k).agg(F.min(label).alias(name)), k, "left")
+    return out.select(*table.columns, F.coalesce(*(F.col(n) for n in names)).alias(label))
 
 
-def _grouped(table: DataFrame, rows: DataFrame, unique: list[list[str]], order: str) -> DataFrame:
+def _grouped(table: DataFrame, rows: DataFrame, unique: list[list[str]], order: str, label: str) -> DataFrame:
     """Adds the label of the group each row belongs to: rows that share a key, or a row of the table, are of one group.
 
     Labels are the least place of the group's rows. They spread by key, then by row of the table, until none changes.
     """
     mine, = fresh(rows.columns, "_mine")
-    out = rows.withColumn(_LABEL, F.col(order))
+    out = rows.withColumn(label, F.col(order))
     while True:
         new = out
         for k in unique:
-            least = new.dropna(subset=k).groupBy(*k).agg(F.min(_LABEL).alias(mine))
-            new = new.join(least, k, "left").select(*(F.col(f"`{c}`") for c in rows.columns), F.least(_LABEL, mine).alias(_LABEL))
+            least = new.dropna(subset=k).groupBy(*k).agg(F.min(label).alias(mine))
+            new = new.join(least, k, "left").select(*(F.col(f"`{c}`") for c in rows.columns), F.least(label, mine).alias(label))
         # A row of the table joins the groups of all rows that share one of its keys.
-        names = fresh([*table.columns, _LABEL, mine], *(f"_l{i}" for i in range(len(unique))))
+        names = fresh([*table.columns, label, mine], *(f"_l{i}" for i in range(len(unique))))
         bridge = table
         for name, k in zip(names, unique, strict=True):
-            bridge = bridge.join(new.dropna(subset=k).groupBy(*k).agg(F.min(_LABEL).alias(name)), k, "left")
+            bridge = bridge.join(new.dropna(subset=k).groupBy(*k).agg(F.min(label).alias(name)), k, "left")
         bridge = bridge.where(" OR ".join(f"`{n}` IS NOT NULL" for n in names)).withColumn(mine, F.least(*(F.col(n) for n in names)))
         bridge = cut(bridge.select(*{c: None for k in unique for c in k}, mine), "merged")
         for k in unique:
             least = bridge.dropna(subset=k).groupBy(*k).agg(F.min(mine).alias(mine))
-            new = new.join(least, k, "left").select(*(F.col(f"`{c}`") for c in rows.columns), F.least(_LABEL, mine).alias(_LABEL))
+            new = new.join(least, k, "left").select(*(F.col(f"`{c}`") for c in rows.columns), F.least(label, mine).alias(label))
         new = cut(new, "merged")
-        before = out.select(order, F.col(_LABEL).alias(mine))
-        moved = not new.join(before, order).where(F.col(_LABEL) != F.col(mine)).isEmpty()
+        before = out.select(order, F.col(label).alias(mine))
+        moved = not new.join(before, order).where(F.col(label) != F.col(mine)).isEmpty()
         out = new
         if not moved:
             return out

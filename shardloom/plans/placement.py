@@ -176,10 +176,13 @@ def check_rows(df: DataFrame, placement: Placement, numbered: bool = False) -> D
 
 
 def write_sharded(df: DataFrame, path: str, placement: Placement, mode: str = "errorifexists", numbered: bool = False) -> None:
-    """Writes a table by shard. One shuffle brings a shard's rows together, salted so that a big one has many writers."""
+    """Writes a table by shard.
+
+    One shuffle brings a shard's rows together; adaptive execution cuts what is large into files of its advisory size,
+    however large a shard is, and lets one task write what is small.
+    """
     placed = check_rows(df, placement, numbered)
-    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(8))
-    placed.repartition(F.col(SHARD), salt).write.mode(mode).partitionBy(SHARD).parquet(path)
+    placed.hint("rebalance", F.col(SHARD)).write.mode(mode).partitionBy(SHARD).parquet(path)
 
 
 def read_pruned(df: DataFrame, placement: Placement, values: list[int | float | str]) -> DataFrame:

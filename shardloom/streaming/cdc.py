@@ -74,10 +74,9 @@ class BucketedCopy:
     left out, so a batch run again after a failure changes nothing.
     """
 
-    BUCKET = "_bucket"
-
     def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], buckets: int = 256) -> None:
         self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, keys, buckets
+        self.bucket, = fresh(schema.fieldNames(), "_bucket")
 
     def _states(self) -> list[int]:
         return sorted(int(n[:-5]) for n in names(self.spark, f"{self.path}/states") if n.endswith(".json"))
@@ -93,8 +92,8 @@ class BucketedCopy:
         """Writes rows cut by bucket: the folder of each bucket that has any."""
         folder = f"{self.path}/{name}-{uuid.uuid4().hex}"
         bucket = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in self.keys)), F.lit(self.buckets)).cast("int")
-        rows.withColumn(self.BUCKET, bucket).repartition(F.col(self.BUCKET)).write.partitionBy(self.BUCKET).parquet(folder)
-        return {n.split("=")[1]: f"{folder}/{n}" for n in names(self.spark, folder) if n.startswith(f"{self.BUCKET}=")}
+        rows.withColumn(self.bucket, bucket).hint("rebalance", F.col(self.bucket)).write.partitionBy(self.bucket).parquet(folder)
+        return {n.split("=")[1]: f"{folder}/{n}" for n in names(self.spark, folder) if n.startswith(f"{self.bucket}=")}
 
     def start(self, snapshot: DataFrame) -> None:
         """Takes the snapshot, unless there is a copy already. State 0 has seen no batch."""

@@ -577,6 +577,11 @@ def test_dml_special_cases(spark):
     new = table(spark, [(1, 2, 0), (1, 3, 1), (None, 4, 2), (None, 5, 3)], "a int, b int, p long")
     merged = dml.merge_in_order(empty, new, [["a"]], "p", {"b": "t.b + n.b"}, "affected")
     assert sorted(map(tuple, merged.collect()), key=repr) == sorted([(1, 5, 3), (None, 4, 1), (None, 5, 1)], key=repr)
+    clash = table(spark, [(1, 2, 3)], "_group int, _new int, _held int")
+    more = table(spark, [(1, 9, 1, 0), (4, 2, 2, 1)], "_group int, _new int, _held int, p long")
+    both = dml.merge_in_order(clash, more, [["_group"], ["_new"]], "p", {"_held": "t._held + n._held"}, "_step").collect()
+    assert [tuple(r) for r in both] == [(1, 2, 6, 4)]
+    assert [tuple(r) for r in dml.merge_in_order(clash, more.limit(1), [["_group"]], "p", {"_held": "t._held + n._held"}, "_step").collect()] == [(1, 2, 4, 2)]
     assert dml.merge_in_order(empty, new.limit(0), [["a"], ["b"]], "p", None, "affected").collect() == []
     assert sorted(map(tuple, dml.survivors(new, [["a"]], "p").collect()), key=repr) == sorted([(1, 3, 1), (None, 4, 2), (None, 5, 3)], key=repr)
     ties = table(spark, [(1, 1), (1, 1), (2, None)], "_hit int, _file int")
@@ -824,6 +829,20 @@ def test_same_rows_tells_apart_what_moved_between_columns(spark):
     assert cdc.same_rows(a, a.select("b", "a"))
 
 
+def test_changes_may_name_their_table(engine):
+    engine.sql("insert into t (id, name) values (1, 'a'), (2, 'b')")
+    engine.sql("update t set t.name = concat(t.name, d.t.id) where t.id = 1 and d.t.name = 'a'")
+    engine.sql("insert into d.t (id, name) values (2, 'z') on duplicate key update name = concat(t.name, values(name))")
+    engine.sql("delete from t where t.name = 'none' or (t.id > 5)")
+    assert rows(engine.sql("select t.id, name from t order by d.t.id")) == [(1, "a1"), (2, "bz")]
+
+
+def test_values_that_are_no_constants(engine):
+    engine.sql("create table r (id int primary key, v double, e time, s datetime default current_timestamp) single")
+    engine.sql("insert into r (id, v, e) values (1, rand(), cast('1:2:3' as time)), (2, 0.5, null)")
+    assert rows(engine.sql("select id, v between 0 and 1, e, s is not null from r order by id")) == [(1, 1, "01:02:03", 1), (2, 1, None, 1)]
+
+
 def test_last_insert_id(engine):
     engine.sql("insert into t (name) values ('a'), ('b')")
     assert rows(engine.sql("select last_insert_id()")) == [(1,)]
