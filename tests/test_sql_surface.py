@@ -848,3 +848,32 @@ def test_last_insert_id(engine):
     assert rows(engine.sql("select last_insert_id()")) == [(1,)]
     engine.sql("insert into t (name) values ('c')")
     assert rows(engine.sql("select last_insert_id() + 0 as n, count(*) from t")) == [(3, 3)]
+
+
+def test_writers_at_the_same_time_lose_nothing(engine, spark):
+    import threading
+
+    engine.sql("create table w (id int primary key, who int) single")
+    refused, failed = [], []
+
+    def write(who):
+        own = Engine(spark, engine.catalog.root)
+        own.sql("use d")
+        for i in range(4):
+            while True:
+                try:
+                    own.sql(f"insert into w values ({who * 100 + i}, {who})")
+                    break
+                except Conflict:
+                    refused.append(who)
+                except Exception as problem:  # noqa: BLE001
+                    failed.append(problem)
+                    return
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert not failed
+    assert rows(engine.sql("select who, count(*) from w group by who order by who")) == [(0, 4), (1, 4), (2, 4)]
